@@ -87,6 +87,13 @@ def ensure_schema(spark: SparkSession, schema: str, comment: str | None = None)
     return schema
 
 
+def table_location(spark: SparkSession, schema: str, name: str) -> str:
+    """``<warehouse>/<schema>.db/<name>``: an explicit location, so a rerun replaces the
+    folder even when the catalog entry is gone (e.g. a fresh session's in-memory catalog)."""
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return f"{warehouse}/{schema}.db/{name}"
+
+
 def publish(
     df: DataFrame,
     name: str,
@@ -100,7 +107,7 @@ def publish(
     validate_identifier(schema, "schema")
     obs = Observation(f"rows_{name}")
     out = with_comments(df, comments or {}).observe(obs, F.count(F.lit(1)).alias("rows"))
-    writer = out.write.mode("overwrite").format("parquet")
+    writer = out.write.mode("overwrite").format("parquet").option("path", table_location(df.sparkSession, schema, name))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if table_comment:
