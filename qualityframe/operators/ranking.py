@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qualityframe.functions.columns import ColumnLike, to_col
@@ -12,15 +12,27 @@ from qualityframe.functions.measures import bucket
 from qualityframe.operators.ids import sequence_id
 
 
-def latest_snapshot(df: DataFrame, date_col: ColumnLike, grain: str | None = None) -> DataFrame:
+def latest_snapshot(
+    df: DataFrame, date_col: ColumnLike, grain: str | None = None, subquery: bool = False
+) -> DataFrame:
     """Rows of the latest date (or latest ``grain`` bucket: 'month', 'day', ...).
 
-    The maximum is a scalar subquery: computed once over the one needed column, then
-    applied as a filter. Ties are all kept; an empty input gives an empty output.
+    Ties are all kept; an empty input gives an empty output. ``subquery=True`` applies
+    the maximum as a scalar-subquery filter instead (best when ``df`` is a plain scan:
+    the subquery reads only the date column).
     """
     target = bucket(date_col, grain) if grain else to_col(date_col)
-    latest = df.select(F.max(target)).scalar()
-    return df.filter(target == latest)
+    if subquery:
+        latest = df.select(F.max(target)).scalar()
+        return df.filter(target == latest)
+    # One-row max joined back: both sides share the same source subtree, so Spark plans
+    # the source's exchanges once and reuses them (a subquery would recompute the source).
+    # NULL dates can never equal the max; dropping them up front keeps both branches
+    # identical (otherwise the optimizer infers the filter for one branch only and the
+    # shared exchanges are no longer reused).
+    src = df.filter(target.isNotNull())
+    top = F.broadcast(src.agg(F.max(target).alias("_qf_latest")))
+    return src.join(top, target == F.col("_qf_latest"), "inner").drop("_qf_latest")
 
 
 def top_k(df: DataFrame, order_by: Sequence[Column], k: int) -> DataFrame:
@@ -41,6 +53,7 @@ def ranked(
     name: str = "rank",
     method: str = "rank",
     tie_break: Sequence[ColumnLike] = (),
+    bounded: bool = False,
 ) -> DataFrame:
     """Add an explicit rank following ``order_by`` over the values of ``keys``.
 
@@ -48,8 +61,17 @@ def ranked(
     * ``dense``: equal key values share a rank, no gaps;
     * ``rank``: equal key values share the smallest row number (gaps after ties).
 
-    Built from ``sequence_id`` (parallel), never a window over one partition.
+    By default built from ``sequence_id`` (parallel), never a window over one partition.
+    ``bounded=True`` is for inputs whose size the caller can prove small, such as one row
+    per value of a fixed dimension domain: those are ranked with an ordinary window in a
+    single task, which avoids the extra jobs of the parallel form.
     """
+    if method not in ("row", "dense", "rank"):
+        raise ValueError("method must be 'row', 'dense' or 'rank'")
+    if bounded:
+        fn = {"row": F.row_number, "dense": F.dense_rank, "rank": F.rank}[method]
+        order = [*order_by, *[to_col(c) for c in tie_break]] if method == "row" else list(order_by)
+        return df.withColumn(name, fn().over(Window.orderBy(*order)).cast("long"))
     if method == "row":
         return sequence_id(df, [*order_by, *tie_break], start=1, name=name)
     if method == "dense":
@@ -60,4 +82,3 @@ def ranked(
         numbered = sequence_id(df, [*order_by, *tie_break], start=1, name="_qf_rn")
         first = numbered.groupBy(*keys).agg(F.min("_qf_rn").alias(name))
         return numbered.join(first, list(keys), "inner").drop("_qf_rn")
-    raise ValueError("method must be 'row', 'dense' or 'rank'")

@@ -311,14 +311,64 @@ def model_metrics(preds: DataFrame, by: Sequence[str], via: Via | None = None, w
     return evaluate(preds, ms, by=list(by), via=via)
 
 
-def model_metrics_monthly(preds: DataFrame, facilities: DataFrame | None = None) -> DataFrame:
-    """T3: one row per (month, model, version, inspection type, facility).
-
-    With ``facilities`` = (s_suppkey, facility_id), predictions are pre-aggregated per
-    dock (supplier) and month before the dimension join, then merged per facility.
+def _version_count_parts(versions: Sequence[tuple[str, float]]) -> dict[str, Column]:
+    """Confusion counts of every version as columns of one aggregate (wide form)."""
+    fail = F.col("result") == "fail"
+    parts: dict[str, Column] = {}
+    for i, (_, threshold) in enumerate(versions):
+        pred = F.col("l_discount") > F.lit(float(threshold))
+        parts[f"_tp{i}"] = M.count_where(pred & fail)
+        parts[f"_fp{i}"] = M.count_where(pred & ~fail)
+        parts[f"_fn{i}"] = M.count_where(~pred & fail)
+        parts[f"_tn{i}"] = M.count_where(~pred & ~fail)
+    parts["_n_total_inferences"] = F.count(F.lit(1))
+    parts["_lat_sum"] = F.sum(F.col("l_quantity").cast("double"))
+    parts["_lat_n"] = F.count(F.col("l_quantity"))
+    return parts
+
+
+def model_metrics_monthly(
+    items: DataFrame,
+    facilities: DataFrame | None = None,
+    versions: Sequence[tuple[str, float]] = VERSION_THRESHOLDS,
+) -> DataFrame:
+    """T3: one row per (month, model, version, inspection type, facility) from item facts.
+
+    Every version scores every item, so instead of fanning items out x versions before
+    the shuffle, one aggregate computes all versions' confusion counts as columns and the
+    (small) result is unpivoted afterwards. With ``facilities`` = (s_suppkey, facility_id)
+    the counts are first pre-aggregated per dock (supplier), which also collapses a hot
+    supplier map-side, then joined to the facility and merged.
+    Same output as ``model_metrics(predictions(items), ...)`` on the long form.
     """
-    p = preds.withColumn("evaluation_date", M.bucket("ts", "month"))
-    by = ["evaluation_date", "model_name", "model_version", "inspection_type", "facility_id"]
+    model = classify([(F.col("inspection_type") == k, v) for k, v in MODEL_BY_TYPE.items()], None)
+    p = items.withColumn("evaluation_date", M.bucket("inspection_timestamp", "month")).withColumn("model_name", model)
+    keys = ["evaluation_date", "model_name", "inspection_type"]
+    parts = _version_count_parts(versions)
     if facilities is None:
-        return model_metrics(p.withColumnRenamed("dock_id", "facility_id"), by)
-    return model_metrics(p, by, via=Via(["dock_id"], facilities, ["s_suppkey"]))
+        g = p.groupBy(*keys, F.col("dock_id").alias("facility_id")).agg(*[c.alias(a) for a, c in parts.items()])
+    else:
+        pre = p.groupBy("dock_id", *keys).agg(*[c.alias(a) for a, c in parts.items()])
+        joined = pre.join(facilities, pre["dock_id"] == facilities["s_suppkey"], "inner")
+        g = joined.groupBy(*keys, "facility_id").agg(*[F.sum(a).alias(a) for a in parts])
+    per_version = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(v).alias("model_version"),
+                    F.col(f"_tp{i}").alias("_tp"),
+                    F.col(f"_fp{i}").alias("_fp"),
+                    F.col(f"_fn{i}").alias("_fn"),
+                    F.col(f"_tn{i}").alias("_tn"),
+                )
+                for i, (v, _) in enumerate(versions)
+            ]
+        )
+    )
+    long = g.select(*keys, "facility_id", "_n_total_inferences", "_lat_sum", "_lat_n", per_version.alias("_v")).select(
+        *keys, "facility_id", "_n_total_inferences", "_lat_sum", "_lat_n", "_v.*"
+    )
+    return long.select(
+        "evaluation_date", "model_name", "model_version", "inspection_type", "facility_id",
+        *[m.final(F.col).alias(m.name) for m in MODEL_MEASURES],
+    )

@@ -71,9 +71,10 @@ def carrier_ranking(scans: DataFrame, carriers: DataFrame) -> DataFrame:
         by=["carrier_name"],
         via=Via(["o_custkey"], carriers, ["c_custkey"]),
     )
+    # one row per carrier: a fixed dimension domain, so the ranking input is bounded
     return ranked(
         out, [F.desc_nulls_last("avg_damage_rate")], keys=["avg_damage_rate"], name="damage_rank",
-        method="rank", tie_break=[F.asc("carrier_name")],
+        method="rank", tie_break=[F.asc("carrier_name")], bounded=True,
     )
 
 
