@@ -26,16 +26,30 @@ def classify(rules: Sequence[tuple[Column, object]], default: object = None) ->
     return expr.otherwise(lit_or_col(default))
 
 
+BAND_DECIMAL = "decimal(30,12)"
+
+
 def banded_outcome(
     score: ColumnLike,
     threshold: ColumnLike,
     warn_width: float = 0.05,
     labels: tuple[str, str, str] = ("fail", "warning", "pass"),
 ) -> Column:
-    """Half-open bands: fail iff score < t; warning iff t <= score < t + width; else pass."""
-    s, t = to_col(score), lit_or_col(threshold)
+    """Half-open bands: fail iff score < t; warning iff t <= score < t + width; else pass.
+
+    Band bounds are computed in DECIMAL, i.e. on the decimal reading of the rates (0.10 +
+    0.05 is exactly 0.15, where binary doubles give 0.15000000000000002), then compared
+    with the score as DOUBLE.
+    """
+    s = to_col(score).cast("double")
+    t = lit_or_col(threshold).cast(BAND_DECIMAL)
+    upper = t + F.lit(float(warn_width)).cast(BAND_DECIMAL)
     fail, warn, ok = labels
-    return F.when(s < t, F.lit(fail)).when(s < t + F.lit(float(warn_width)), F.lit(warn)).otherwise(F.lit(ok))
+    return (
+        F.when(s < t.cast("double"), F.lit(fail))
+        .when(s < upper.cast("double"), F.lit(warn))
+        .otherwise(F.lit(ok))
+    )
 
 
 def scaled_rate(base_rate: ColumnLike, factor: ColumnLike) -> Column:

@@ -5,12 +5,19 @@
 
 1. range-partition on the full sort key and sort inside each partition (Spark samples
    the key to pick balanced bounds, so a hot leading value, e.g. one date holding a
-   third of the rows, is split across partitions by the remaining sort columns);
-2. count rows per partition: one row per partition, a bounded table;
-3. exclusive running total of those counts = each partition's offset (broadcast);
-4. id = start + offset + position inside the partition.
+   third of the rows, is split across partitions by the remaining sort columns), and
+   tag every row with (partition, position);
+2. checkpoint the tagged rows into the shared ``spark.checkpoint.dir``;
+3. count rows per partition: one row per partition, a bounded table;
+4. exclusive running total of those counts = each partition's offset (broadcast);
+5. id = start + offset + position inside the partition.
 
-Step 2 and step 4 read the same range exchange, which Spark plans once and reuses.
+Why the checkpoint: steps 3 and 5 must see the very same partitioning. Spark's range
+partitioner seeds its sample with an internal RDD id, so two separately planned range
+exchanges (e.g. when the counting branch prunes columns and the exchange is not reused)
+can cut the data at different bounds. Reading both passes from one stored copy makes
+the ids exact whatever the optimizer does, and cuts the lineage so a lost executor
+does not force the sort to be redone.
 With a total order (unique sort key) the ids equal the global ROW_NUMBER exactly.
 """
 
@@ -22,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qualityframe.functions.columns import ColumnLike, to_col
+from qualityframe.session import ensure_checkpoint_dir
 
 _PID = "_qf_pid"
 _MID = "_qf_mid"
@@ -47,6 +55,8 @@ def sequence_id(
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(n, *orders).sortWithinPartitions(*orders)
     tagged = ordered.withColumn(_PID, F.spark_partition_id()).withColumn(_MID, F.monotonically_increasing_id())
+    ensure_checkpoint_dir(df.sparkSession)
+    tagged = tagged.checkpoint(eager=True)
     counts = tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_qf_n"))
     # At most one row per partition: a bounded table, safe to window and broadcast.
     w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
