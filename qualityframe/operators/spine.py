@@ -15,12 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qualityframe.functions.columns import ColumnLike, to_col
+from qualityframe.session import default_parallelism
 
 _STEPS = ("day", "month")
 
-# Spines longer than this are not broadcast (about 2,700 years of days).
-MAX_BROADCAST_SPINE_ROWS = 1_000_000
-
 
 def _as_date(value: dt.date | str) -> dt.date:
     if isinstance(value, dt.datetime):
@@ -57,7 +55,7 @@ def date_spine(
     else:
         n = (e - s).days + 1
     n = max(n, 0)
-    parts = num_partitions or max(1, min(spark.sparkContext.defaultParallelism, n or 1))
+    parts = num_partitions or max(1, min(default_parallelism(spark), n or 1))
     base = spark.range(0, n, 1, parts)
     if step == "day":
         col = F.date_add(F.lit(s), F.col("id").cast("int"))

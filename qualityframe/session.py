@@ -39,26 +39,53 @@ def get_session(
     for key, value in {**DEFAULT_CONF, **(extra or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    sc = _context(spark)
+    if sc is not None:
+        sc.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None for a Spark Connect session."""
+    try:
+        return spark.sparkContext
+    except Exception:  # Spark Connect sessions have no local SparkContext
+        return None
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder the cluster names in ``spark.checkpoint.dir`` (or None)."""
-    current = spark.sparkContext.getCheckpointDir()
+    sc = _context(spark)
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
     return spark.conf.get("spark.checkpoint.dir", None) or None
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's checkpoint folder; create a scratch one only when unset (tests)."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
+    """Use the cluster's checkpoint folder; create a scratch one only when unset (tests).
+
+    On a cluster ``spark.checkpoint.dir`` names shared storage and is used as is; a
+    machine-local scratch folder is created only for a local session with nothing set.
+    """
+    sc = _context(spark)
     current = checkpoint_dir(spark)
+    if sc is None:
+        return current  # Connect: the server side owns the checkpoint location
     if current:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
     scratch = tempfile.mkdtemp(prefix="qualityframe-ckpt-", dir=os.environ.get("TMPDIR"))
-    spark.sparkContext.setCheckpointDir(scratch)
+    sc.setCheckpointDir(scratch)
     return scratch
+
+
+def default_parallelism(spark: SparkSession, fallback: int = 8) -> int:
+    sc = _context(spark)
+    if sc is not None:
+        return sc.defaultParallelism
+    return int(spark.conf.get("spark.sql.shuffle.partitions", str(fallback)))
