@@ -64,12 +64,51 @@ COLUMN_COMMENTS: dict[str, dict[str, str]] = {
 }
 
 
+# Table documentation of the three published tables.
+TABLE_COMMENTS: dict[str, str] = {
+    "inspection_events": "One row per inspected item: outcome, defect, severity and confidence",
+    "dock_scans": "One row per shipment: item counts, match and damage rates, scan status",
+    "model_performance": "One row per month, model, version and facility: confusion-matrix metrics",
+}
+
+
 def validate_identifier(value: str, field_name: str = "identifier") -> str:
     if not value or not _IDENT.fullmatch(value):
         raise ValueError(f"{field_name}={value!r} is not a simple identifier")
     return value
 
 
+DEFAULT_SCHEMA_BASENAME = "quality_qc"
+
+
+def current_user_slug(spark: SparkSession) -> str:
+    """Slug of ``current_user()`` (part before '@', non-alphanumerics -> '_', lower case)."""
+    from qualityframe.functions.text import slugify
+
+    slug = spark.range(1).select(slugify(F.current_user()).alias("s")).first()["s"]
+    if not slug:
+        raise ValueError("could not derive a schema name from current_user(); pass one explicitly")
+    return slug
+
+
+def resolve_target(spark: SparkSession, catalog: str | None = None, schema: str | None = None) -> dict:
+    """Where to publish: ``catalog`` if it exists (else the current catalog: catalogs are
+    not created from Spark SQL), ``schema`` or ``<basename>_<user slug>``."""
+    current = spark.catalog.currentCatalog()
+    wanted = catalog or current
+    validate_identifier(wanted, "catalog")
+    names = {c.name for c in spark.catalog.listCatalogs()}
+    resolved = wanted if wanted in names else current
+    name = schema or f"{DEFAULT_SCHEMA_BASENAME}_{current_user_slug(spark)}"
+    validate_identifier(name, "schema")
+    return {
+        "catalog": resolved,
+        "schema": name,
+        "fqn": f"{resolved}.{name}",
+        "catalog_fallback": resolved != wanted,
+    }
+
+
 def with_comments(df: DataFrame, comments: Mapping[str, str]) -> DataFrame:
     """Attach column comments as metadata (lands in DESCRIBE after a saveAsTable)."""
     for col, text in comments.items():
@@ -110,9 +149,10 @@ def publish(
     writer = out.write.mode("overwrite").format("parquet").option("path", table_location(df.sparkSession, schema, name))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    if table_comment:
-        writer = writer.option("comment", table_comment)
     writer.saveAsTable(f"{schema}.{name}")
+    if table_comment:
+        text = table_comment.replace("'", "''")
+        df.sparkSession.sql(f"COMMENT ON TABLE {schema}.{name} IS '{text}'")
     return int(obs.get["rows"])
 
 
@@ -123,12 +163,19 @@ def publish_all(
     comments: Mapping[str, Mapping[str, str]] = COLUMN_COMMENTS,
     schema_comment: str = "Quality-control analytics tables",
     partition_by: Mapping[str, Sequence[str]] | None = None,
+    table_comments: Mapping[str, str] = TABLE_COMMENTS,
 ) -> dict:
-    """Publish several tables into one schema; return a run summary."""
+    """Publish several tables into one schema; return a run summary.
+
+    Each table is one write job whose row count is observed during the write; tables are
+    written one after another so each job gets the whole cluster.
+    """
     ensure_schema(spark, schema, schema_comment)
     counts: dict[str, int] = {}
     for name, df in tables.items():
-        counts[name] = publish(df, name, schema, comments.get(name), (partition_by or {}).get(name, ()))
+        counts[name] = publish(
+            df, name, schema, comments.get(name), (partition_by or {}).get(name, ()), table_comments.get(name)
+        )
     return {
         "catalog": spark.catalog.currentCatalog(),
         "schema": schema,
