@@ -62,8 +62,8 @@ def _products(t: Tables) -> DataFrame:
     return jobs.product_dim(t.part)
 
 
-def _facilities(t: Tables) -> DataFrame:
-    return jobs.facility_dim(t.supplier, t.nation)
+def _facilities(t: Tables):
+    return jobs.facility_attach(t.supplier, t.nation)
 
 
 def _metrics(t: Tables) -> DataFrame:

@@ -16,7 +16,7 @@ first (``registry.Via``).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -126,14 +126,33 @@ def facility_dim(supplier: DataFrame, nation: DataFrame) -> DataFrame:
     ).select("s_suppkey", "facility_id")
 
 
+def facility_attach(supplier: DataFrame, nation: DataFrame, key: str = "dock_id") -> Callable[[DataFrame], DataFrame]:
+    """Attach ``facility_id`` to rows keyed by supplier: join the supplier scan first, then
+    the broadcast nation list.
+
+    Joining the plain supplier scan lets the planner size it from file statistics (a
+    broadcast while small, a shuffle join with AQE skew splitting once it is large); a
+    pre-joined supplier-nation frame would always be estimated too big to broadcast,
+    forcing a shuffle of the fact side.
+    """
+
+    def attach(df: DataFrame) -> DataFrame:
+        s = supplier.select("s_suppkey", "s_nationkey")
+        nat = F.broadcast(nation.select("n_nationkey", F.col("n_name").alias("facility_id")))
+        out = df.join(s, df[key] == s["s_suppkey"], "inner")
+        out = out.join(nat, out["s_nationkey"] == nat["n_nationkey"], "inner")
+        return out.drop("s_suppkey", "s_nationkey", "n_nationkey")
+
+    return attach
+
+
 def with_product(items: DataFrame, part: DataFrame) -> DataFrame:
     p = product_dim(part)
     return items.join(p, items["item_sku"] == p["p_partkey"], "inner").drop("p_partkey")
 
 
 def with_facility(items: DataFrame, supplier: DataFrame, nation: DataFrame) -> DataFrame:
-    f = facility_dim(supplier, nation)
-    return items.join(f, items["dock_id"] == f["s_suppkey"], "inner").drop("s_suppkey")
+    return facility_attach(supplier, nation)(items)
 
 
 ITEM_COLUMNS = (
@@ -329,15 +348,15 @@ def _version_count_parts(versions: Sequence[tuple[str, float]]) -> dict[str, Col
 
 def model_metrics_monthly(
     items: DataFrame,
-    facilities: DataFrame | None = None,
+    facilities: Callable[[DataFrame], DataFrame] | None = None,
     versions: Sequence[tuple[str, float]] = VERSION_THRESHOLDS,
 ) -> DataFrame:
     """T3: one row per (month, model, version, inspection type, facility) from item facts.
 
     Every version scores every item, so instead of fanning items out x versions before
     the shuffle, one aggregate computes all versions' confusion counts as columns and the
-    (small) result is unpivoted afterwards. With ``facilities`` = (s_suppkey, facility_id)
-    the counts are first pre-aggregated per dock (supplier), which also collapses a hot
+    (small) result is unpivoted afterwards. With ``facilities`` (``facility_attach``) the
+    counts are first pre-aggregated per dock (supplier), which also collapses a hot
     supplier map-side, then joined to the facility and merged.
     Same output as ``model_metrics(predictions(items), ...)`` on the long form.
     """
@@ -349,7 +368,7 @@ def model_metrics_monthly(
         g = p.groupBy(*keys, F.col("dock_id").alias("facility_id")).agg(*[c.alias(a) for a, c in parts.items()])
     else:
         pre = p.groupBy("dock_id", *keys).agg(*[c.alias(a) for a, c in parts.items()])
-        joined = pre.join(facilities, pre["dock_id"] == facilities["s_suppkey"], "inner")
+        joined = facilities(pre)
         g = joined.groupBy(*keys, "facility_id").agg(*[F.sum(a).alias(a) for a in parts])
     per_version = F.explode(
         F.array(

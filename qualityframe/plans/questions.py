@@ -22,7 +22,11 @@ def _product_via(products: DataFrame) -> Via:
     return Via(["item_sku"], products, ["p_partkey"])
 
 
-def _facility_via(facilities: DataFrame) -> Via:
+def _facility_via(facilities) -> Via:
+    """``facilities``: an attach function (``jobs.facility_attach``) or an
+    (s_suppkey, facility_id) frame."""
+    if callable(facilities):
+        return Via(["dock_id"], attach=facilities)
     return Via(["dock_id"], facilities, ["s_suppkey"])
 
 

@@ -50,12 +50,21 @@ class Measure:
 
 @dataclass(frozen=True)
 class Via:
-    """Pre-aggregate facts by ``fact_keys``, then join ``dim`` on ``dim_keys``."""
+    """Pre-aggregate facts by ``fact_keys``, then join ``dim`` on ``dim_keys`` (or run
+    ``attach`` on the partials, for dimensions reached through several joins)."""
 
     fact_keys: Sequence[str]
-    dim: DataFrame
-    dim_keys: Sequence[str]
+    dim: DataFrame | None = None
+    dim_keys: Sequence[str] = ()
     broadcast: bool = False
+    attach: Callable[[DataFrame], DataFrame] | None = None
+
+    def join(self, pre: DataFrame) -> DataFrame:
+        if self.attach is not None:
+            return self.attach(pre)
+        dim = F.broadcast(self.dim) if self.broadcast else self.dim
+        cond = [pre[fk] == dim[dk] for fk, dk in zip(self.fact_keys, self.dim_keys)]
+        return pre.join(dim, cond, "inner")
 
 
 @dataclass
@@ -104,9 +113,7 @@ def evaluate(
     else:
         fact_by = [c for c in by_names if c in df.columns and c not in via.fact_keys]
         pre = df.groupBy(*via.fact_keys, *fact_by).agg(*[agg.alias(a) for a, (agg, _) in parts.items()])
-        dim = F.broadcast(via.dim) if via.broadcast else via.dim
-        cond = [pre[fk] == dim[dk] for fk, dk in zip(via.fact_keys, via.dim_keys)]
-        joined = pre.join(dim, cond, "inner")
+        joined = via.join(pre)
         grouped = joined.groupBy(*by_names).agg(*[_MERGE[merge](F.col(a)).alias(a) for a, (_, merge) in parts.items()])
     return grouped.select(*by_names, *[m.final(F.col).alias(m.name) for m in measures])
 
