@@ -6,7 +6,6 @@ the driver. The matching DuckDB SQL lives in ``plans/oracle.py``.
 
 from __future__ import annotations
 
-
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -567,6 +566,3 @@ def q_publish_summary(spark, source):
 
 def all_queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
-
-
-
