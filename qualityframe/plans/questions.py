@@ -55,9 +55,13 @@ def this_period_rate(items: DataFrame, products: DataFrame, grain: str = "month"
     return out.orderBy(F.desc("defect_rate_pct"), F.asc("item_sku"))
 
 
-def latest_fp_rate(metrics: DataFrame) -> DataFrame:
-    """Q2: mean false-positive rate per facility in the latest evaluation month."""
-    latest = latest_snapshot(metrics, "evaluation_date")
+def latest_fp_rate(metrics: DataFrame, subquery: bool = False) -> DataFrame:
+    """Q2: mean false-positive rate per facility in the latest evaluation month.
+
+    ``subquery=True`` suits a published table partitioned by ``evaluation_date``: the
+    maximum becomes a runtime partition filter, so only the latest month's files are read.
+    """
+    latest = latest_snapshot(metrics, "evaluation_date", subquery=subquery)
     out = latest.groupBy("facility_id").agg(M.mean("false_positive_rate_pct", 1).alias("avg_fp_rate"))
     return out.orderBy(F.desc_nulls_last("avg_fp_rate"), F.asc("facility_id"))
 

@@ -54,3 +54,8 @@ def test_rows_only_queries_run(spark):
     s = E.queries()["q_sample_murmur3"](spark, SF001)
     n = s.count()
     assert 0.10 * 15000 < n < 0.14 * 15000
+
+
+def test_publish_summary_counts(spark):
+    out = {r.table_name: r.rows for r in E.queries()["q_publish_summary"](spark, SF001).collect()}
+    assert out == {"inspection_events": 60000, "dock_scans": 14743, "model_performance": 18360}

@@ -60,3 +60,22 @@ def test_item_ids_do_not_sort_in_one_partition(spark):
 def test_spine_cross_join_broadcasts_calendar(spark):
     p = plan(QUERIES["q_panel_skeleton"](spark, SF001))
     assert "BroadcastNestedLoopJoin" in p and "CartesianProduct" not in p
+
+
+def test_sampling_predicate_becomes_panel_join_condition(spark):
+    from qualityframe.operators.sampling import hash_sample
+    from qualityframe.operators.spine import date_spine, panel
+
+    days = date_spine(spark, "2025-01-01", "2025-12-31")
+    keys = spark.range(0, 1000).withColumnRenamed("id", "k")
+    p = plan(hash_sample(panel(keys, days), 0.1, ["k", "d"], method="md5"))
+    join_line = next(line for line in p.splitlines() if "BroadcastNestedLoopJoin" in line)
+    assert "md5" in join_line  # unsampled cells are never produced
+
+
+def test_carrier_join_reuses_rollup_partitioning(spark):
+    # the rollup is hash-partitioned by shipment; joining orders on the same key must not
+    # shuffle the rollup again (only orders is exchanged for that join)
+    df = QUERIES["q_inbound_scan_time"](spark, SF001)
+    p = plan(df)
+    assert p.count("hashpartitioning(shipment_id") == 1

@@ -50,3 +50,23 @@ def test_resolve_target_falls_back_to_current_catalog(spark):
     assert t["catalog"] == spark.catalog.currentCatalog() and t["catalog_fallback"]
     d = resolve_target(spark)
     assert d["schema"].startswith("quality_qc_") and not d["catalog_fallback"]
+
+
+def test_latest_snapshot_prunes_published_partitions(spark):
+    from conftest import SF0001
+
+    from qualityframe.plans import questions
+    from qualityframe.plans.catalog import QUERIES, _metrics, _t
+
+    schema = "qf_test_pruning"
+    metrics = _metrics(_t(spark, SF0001))
+    publish_all(spark, {"model_performance": metrics}, schema=schema,
+                partition_by={"model_performance": ["evaluation_date"]})
+    table = spark.table(f"{schema}.model_performance")
+    q = questions.latest_fp_rate(table, subquery=True)
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "PartitionFilters: [isnotnull(evaluation_date" in line)
+    assert "Subquery" in scan  # the latest month is applied as a runtime partition filter
+    expected = sorted(tuple(r) for r in QUERIES["q_latest_snapshot_avg"](spark, SF0001).collect())
+    assert sorted(tuple(r) for r in q.collect()) == expected
+    drop_dataset(spark, schema)
