@@ -44,10 +44,16 @@ def main() -> None:
         extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")},
     )
     names = only or sorted(QUERIES)
+    failed: dict[str, str] = {}
     for name in names:  # warm-up: JIT, parquet footers, broadcast code paths
-        run_once(spark, name, sf_dir)
+        try:
+            run_once(spark, name, sf_dir)
+        except Exception as exc:  # keep benchmarking the others; report the failure
+            failed[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
     timings: dict[str, float] = {}
     for name in names:
+        if name in failed:
+            continue
         runs = [run_once(spark, name, sf_dir) for _ in range(repeat)]
         timings[name] = round(statistics.median(runs), 4)
     sf = os.path.basename(os.path.normpath(sf_dir)).replace("sf", "")
@@ -65,6 +71,7 @@ def main() -> None:
                 "sf": sf_value,
                 "cpus": int(cpus),
                 "repeat": repeat,
+                "failed": failed,
             }
         )
     )
