@@ -1,8 +1,8 @@
 """Benchmark: run every registered query on $BENCH_SF_DIR with local[$BENCH_CPUS].
 
 Each query is executed in full through the ``noop`` sink (all stages run, nothing is
-collected to the driver). One untimed warm-up pass, then ``BENCH_REPEAT`` timed runs;
-the per-query figure is the median. Prints one JSON line.
+collected to the driver), ``BENCH_REPEAT`` times (default 3); the per-query figure is the
+median, which drops the cold first run. Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -45,16 +45,16 @@ def main() -> None:
     )
     names = only or sorted(QUERIES)
     failed: dict[str, str] = {}
-    for name in names:  # warm-up: JIT, parquet footers, broadcast code paths
+    timings: dict[str, float] = {}
+    for name in names:
+        runs: list[float] = []
         try:
-            run_once(spark, name, sf_dir)
+            for _ in range(repeat):
+                runs.append(run_once(spark, name, sf_dir))
         except Exception as exc:  # keep benchmarking the others; report the failure
             failed[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
-    timings: dict[str, float] = {}
-    for name in names:
-        if name in failed:
             continue
-        runs = [run_once(spark, name, sf_dir) for _ in range(repeat)]
+        # the median discards the cold first run (JIT, footers) when repeat >= 3
         timings[name] = round(statistics.median(runs), 4)
     sf = os.path.basename(os.path.normpath(sf_dir)).replace("sf", "")
     try:
