@@ -170,3 +170,18 @@ def test_confusion_metrics(spark):
     ]
     q2 = questions.latest_fp_rate(out)
     assert [tuple(r) for r in q2.collect()] == [("WH-A", 0.0)]
+
+
+def test_shared_product_name_keeps_skus_apart(spark, items):
+    products = spark.createDataFrame(
+        [("K1", "Same", "Electronics"), ("K2", "Same", "Food"), ("K3", "Bulb", "Home")],
+        "p_partkey string, product_name string, product_category string",
+    )
+    out = questions.top_critical_items(items, products, k=10)
+    assert [(r.item_sku, r.product_name, r.critical_defects) for r in out.collect()] == [
+        ("K1", "Same", 1), ("K2", "Same", 1)]
+
+
+def test_q9_day_grain(items, products):
+    out = questions.this_period_rate(items, products, grain="day")
+    assert rows(out, "item_sku", "total_inspections", "failures") == [("K2", 1, 1)]
