@@ -1,9 +1,9 @@
 """Calendar spines, panels (every key x date cell), densification and date validity.
 
 Sizes: a spine has one row per day or month between its bounds, so it is bounded by
-the calendar (about 3,700 rows per decade of days), not by the fact table. That bound
-is what lets a spine be broadcast into a cross join while the keyed side stays
-partitioned across the cluster.
+the calendar (about 3,700 rows per decade of days), not by the fact table. Panels are
+generated per key row with ``explode`` rather than joined, so the keyed side keeps its
+partitioning and no join of any kind is planned.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qualityframe.functions.columns import ColumnLike, to_col
@@ -92,16 +92,45 @@ def weekdays_only(df: DataFrame, col: ColumnLike) -> DataFrame:
     return df.filter(F.dayofweek(to_col(col)).between(2, 6))
 
 
-def panel(base: DataFrame, *dims: DataFrame, broadcast_dims: bool = True) -> DataFrame:
-    """Every combination of ``base`` rows with each dimension's rows (a skeleton).
+def calendar(start: ColumnLike | dt.date | str, end: ColumnLike | dt.date | str, step: str = "day") -> Column:
+    """ARRAY of the days (or month starts) in [start, end]. Bounds may be literals, row
+    columns or scalar subqueries (``df.select(F.min(..)).scalar()``)."""
+    if step not in _STEPS:
+        raise ValueError(f"step must be one of {_STEPS}")
+
+    def bound(v):
+        if isinstance(v, (dt.date, dt.datetime)):
+            return F.lit(_as_date(v))
+        if isinstance(v, str):
+            return F.to_date(F.lit(v))
+        return F.to_date(v)
+
+    s, e = bound(start), bound(end)
+    if step == "month":
+        return F.sequence(F.trunc(s, "month"), F.trunc(e, "month"), F.expr("INTERVAL 1 MONTH"))
+    return F.sequence(s, e, F.expr("INTERVAL 1 DAY"))
+
+
+def panel(
+    base: DataFrame,
+    calendar_bounds: tuple | None = None,
+    step: str = "day",
+    name: str = "d",
+    values: Mapping[str, Sequence[object]] | None = None,
+) -> DataFrame:
+    """Skeleton with one row per (base row, value of each inline list, calendar day).
 
-    ``base`` stays partitioned; each dimension is broadcast when ``broadcast_dims`` is set
-    (the caller vouches for its bound: a calendar or an inline list). Otherwise Spark
-    chooses between a size-checked broadcast and a cartesian product.
+    Every combination is generated per base row with ``explode`` (a Generate inside the
+    scan stage), not with a join: ``base`` keeps its partitioning, nothing is broadcast
+    and the output grows linearly with the base rows. ``calendar_bounds`` is (start, end)
+    as literals or scalar subqueries; ``values`` maps new column names to inline lists.
     """
     out = base
-    for d in dims:
-        out = out.crossJoin(F.broadcast(d) if broadcast_dims else d)
+    for col, vals in (values or {}).items():
+        out = out.withColumn(col, F.explode(F.array(*[F.lit(v) for v in vals])))
+    if calendar_bounds is not None:
+        start, end = calendar_bounds
+        out = out.withColumn(name, F.explode(calendar(start, end, step)))
     return out
 
 

@@ -355,11 +355,11 @@ def q_weekday_filter(spark, source):
 
 
 def _event_panel(t: Tables) -> DataFrame:
-    bounds = t.events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    days = spine_from_bounds(bounds, "lo", "hi", "day", "d")
+    lo = t.events.select(F.min("ts")).scalar()
+    hi = t.events.select(F.max("ts")).scalar()
     types = t.events.select("event_type").distinct()
-    # the event types stay distributed; the calendar is the broadcast side
-    return panel(types, days)
+    # each (distributed) event type row generates its calendar: no join, no broadcast
+    return panel(types, (lo, hi), "day", "d")
 
 
 @query
@@ -384,11 +384,9 @@ def q_effective_versions(spark, source):
     """Predictions kept only from their version's start month; rows and months per version."""
     t = _t(spark, source)
     preds = jobs.predictions(_items(t))
-    first = t.lineitem.agg(F.trunc(F.to_date(F.min("l_shipdate")), "month").alias("first_month"))
+    first_month = F.trunc(F.to_date(t.lineitem.select(F.min("l_shipdate")).scalar()), "month")
     offsets = dimension(spark, VERSION_START_OFFSETS, "model_version string, months int")
-    schedule = F.broadcast(first).crossJoin(offsets).select(
-        "model_version", F.add_months("first_month", F.col("months")).alias("valid_from")
-    )
+    schedule = offsets.select("model_version", F.add_months(first_month, F.col("months")).alias("valid_from"))
     eligible = effective_from(preds, "model_version", "ts", schedule)
     return eligible.groupBy("model_version").agg(
         F.count(F.lit(1)).alias("predictions"),

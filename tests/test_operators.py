@@ -50,9 +50,8 @@ def test_spine_from_bounds_matches_range_spine(spark):
 
 
 def test_version_eligibility_months(spark):
-    months = date_spine(spark, "2025-01-01", "2025-12-01", "month", "m")
-    versions = spark.createDataFrame([("v1.0",), ("v1.1",), ("v1.2",)], "model_version string")
-    grid = months.crossJoin(versions)
+    grid = panel(spark.range(1), ("2025-01-01", "2025-12-01"), "month", "m",
+                 values={"model_version": ["v1.0", "v1.1", "v1.2"]}).drop("id")
     schedule = spark.createDataFrame(
         [("v1.0", d("2025-01-01")), ("v1.1", d("2025-05-01")), ("v1.2", d("2025-09-01"))],
         "model_version string, valid_from date",
@@ -62,9 +61,8 @@ def test_version_eligibility_months(spark):
 
 
 def test_panel_densify(spark):
-    days = date_spine(spark, "2025-01-01", "2025-01-02", "day", "d")
     keys = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
-    skeleton = panel(keys, days)
+    skeleton = panel(keys, ("2025-01-01", "2025-01-02"))
     facts = spark.createDataFrame([(d("2025-01-02"), "b", 4)], "d date, k string, n long")
     out = densify(facts, skeleton, ["d", "k"], {"n": 0})
     vals = [r.n for r in out.collect()]

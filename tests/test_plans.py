@@ -57,20 +57,21 @@ def test_item_ids_do_not_sort_in_one_partition(spark):
     assert "row_number" not in p.lower()
 
 
-def test_spine_cross_join_broadcasts_calendar(spark):
+def test_panel_is_generated_not_joined(spark):
     p = plan(QUERIES["q_panel_skeleton"](spark, SF001))
-    assert "BroadcastNestedLoopJoin" in p and "CartesianProduct" not in p
+    assert "Generate explode" in p
+    assert "NestedLoopJoin" not in p and "CartesianProduct" not in p
 
 
-def test_sampling_predicate_becomes_panel_join_condition(spark):
+def test_sampled_panel_filters_in_the_generating_stage(spark):
     from qualityframe.operators.sampling import hash_sample
-    from qualityframe.operators.spine import date_spine, panel
+    from qualityframe.operators.spine import panel
 
-    days = date_spine(spark, "2025-01-01", "2025-12-31")
     keys = spark.range(0, 1000).withColumnRenamed("id", "k")
-    p = plan(hash_sample(panel(keys, days), 0.1, ["k", "d"], method="md5"))
-    join_line = next(line for line in p.splitlines() if "BroadcastNestedLoopJoin" in line)
-    assert "md5" in join_line  # unsampled cells are never produced
+    df = hash_sample(panel(keys, ("2025-01-01", "2025-12-31")), 0.1, ["k", "d"], method="md5")
+    p = plan(df)
+    assert "Exchange" not in p and "Join" not in p  # generate + filter, in one stage
+    assert abs(df.count() - 36500) < 1500
 
 
 def test_carrier_join_reuses_rollup_partitioning(spark):
