@@ -43,9 +43,14 @@ def defect_rate_by_category(items: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def this_period_rate(items: DataFrame, products: DataFrame, grain: str = "month") -> DataFrame:
-    """Q9: Q1 per product, restricted to the latest period."""
+    """Q9: Q1 per product, restricted to the latest period.
+
+    ``items`` is a projection of the item scan, so the latest period is a scalar subquery
+    (it reads only the timestamp column; on a date-partitioned table it prunes to the
+    latest period's partitions at run time).
+    """
     m = R.measures
-    latest = latest_snapshot(items, "inspection_timestamp", grain)
+    latest = latest_snapshot(items, "inspection_timestamp", grain, subquery=True)
     out = evaluate(
         latest,
         [m["total_inspections"], m["failures"], m["defect_rate_pct"]],
