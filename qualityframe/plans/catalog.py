@@ -50,7 +50,7 @@ def query(fn: QueryFn) -> QueryFn:
 
 
 def _t(spark: SparkSession, source: str) -> Tables:
-    return Tables(spark, source)
+    return Tables.shared(spark, source)
 
 
 def _items(t: Tables) -> DataFrame:

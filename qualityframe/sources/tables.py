@@ -43,13 +43,33 @@ def read_table(spark: SparkSession, source: str, name: str) -> DataFrame:
 
 
 class Tables:
-    """Lazy accessor: ``Tables(spark, dir).lineitem`` -> DataFrame."""
+    """Lazy accessor: ``Tables(spark, dir).lineitem`` -> DataFrame.
+
+    Each table is read once per accessor (file listing and footer schema) and the same
+    lazy DataFrame is reused by every query built from it. Use ``Tables.shared`` to share
+    one accessor per (session, source) across calls, and ``refresh()`` after the files of
+    a source change.
+    """
+
+    _shared: dict[tuple[int, str], "Tables"] = {}
 
     def __init__(self, spark: SparkSession, source: str):
         self.spark = spark
         self.source = source
         self._cache: dict[str, DataFrame] = {}
 
+    @classmethod
+    def shared(cls, spark: SparkSession, source: str) -> "Tables":
+        key = (id(spark), os.path.normpath(source))
+        t = cls._shared.get(key)
+        if t is None or t.spark is not spark:
+            t = cls._shared[key] = cls(spark, source)
+        return t
+
+    def refresh(self) -> None:
+        """Forget the read DataFrames (re-list files on next access)."""
+        self._cache.clear()
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in TABLE_NAMES:
             raise AttributeError(name)
