@@ -14,36 +14,46 @@ def diff_results(
     keys: Sequence[str],
     compare: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Keyed difference of two results: one row per key that is missing on a side or
-    whose compared values differ (NULL-safe).
+    """Keyed difference of two results: one row per key that is missing on a side, whose
+    compared values differ (NULL-safe), or that is not unique on a side.
 
-    Output: keys, ``diff`` in {'only_left', 'only_right', 'changed'} and ``changed_columns``
-    (comma list, in column order). One full outer join, both sides hash-partitioned on the
-    keys; keys are expected unique per side (use ``diff_multiset`` otherwise).
+    Output: keys, ``diff`` in {'only_left', 'only_right', 'changed', 'duplicate_key'} and
+    ``changed_columns`` (comma list, in column order).
+
+    Each side is first collapsed to one row per key by a partial (map-side) aggregate that
+    keeps the row count and, for single rows, the values; the two key-unique sides are then
+    full-outer joined on the keys, reusing the aggregate's hash partitioning. A key repeated
+    on either side is reported instead of being paired row by row, so a hot duplicated key
+    never multiplies into all its pairs.
     """
     keys = list(keys)
     cols = list(compare) if compare is not None else [c for c in left.columns if c not in keys]
     missing = [c for c in cols if c not in right.columns]
     if missing:
         raise ValueError(f"columns missing on the right: {missing}")
-    lsel = left.select(*keys, *[F.col(c).alias(f"_l_{c}") for c in cols]).withColumn("_l_present", F.lit(True))
-    rsel = right.select(*keys, *[F.col(c).alias(f"_r_{c}") for c in cols]).withColumn("_r_present", F.lit(True))
-    joined = lsel.join(rsel, keys, "full_outer")
+
+    def collapse(df: DataFrame, side: str) -> DataFrame:
+        # min over a single row is that row's value (NULL included); count tells single from repeated
+        return df.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias(f"_{side}_n"), *[F.min(c).alias(f"_{side}_{c}") for c in cols]
+        )
+
+    joined = collapse(left, "l").join(collapse(right, "r"), keys, "full_outer")
+    ln, rn = F.col("_l_n"), F.col("_r_n")
     differs = {c: ~F.col(f"_l_{c}").eqNullSafe(F.col(f"_r_{c}")) for c in cols}
-    diff = (
-        F.when(F.col("_r_present").isNull(), F.lit("only_left"))
-        .when(F.col("_l_present").isNull(), F.lit("only_right"))
-        .otherwise(F.lit("changed"))
-    )
-    changed_cols = F.concat_ws(",", *[F.when(differs[c], F.lit(c)) for c in cols]) if cols else F.lit("")
     any_diff = F.lit(False)
     for c in cols:
         any_diff = any_diff | differs[c]
-    out = joined.filter(F.col("_l_present").isNull() | F.col("_r_present").isNull() | any_diff)
-    return out.select(
-        *keys,
-        diff.alias("diff"),
-        F.when(diff == "changed", changed_cols).otherwise(F.lit("")).alias("changed_columns"),
+    diff = (
+        F.when(rn.isNull(), F.lit("only_left"))
+        .when(ln.isNull(), F.lit("only_right"))
+        .when((ln > 1) | (rn > 1), F.lit("duplicate_key"))
+        .when(any_diff, F.lit("changed"))
+    )
+    changed_cols = F.concat_ws(",", *[F.when(differs[c], F.lit(c)) for c in cols]) if cols else F.lit("")
+    out = joined.select(*keys, diff.alias("diff"), changed_cols.alias("_changed"))
+    return out.filter(F.col("diff").isNotNull()).select(
+        *keys, "diff", F.when(F.col("diff") == "changed", F.col("_changed")).otherwise(F.lit("")).alias("changed_columns")
     )
 
 

@@ -290,6 +290,13 @@ def test_diff_results(spark):
     assert diff_results(a, a, ["k"]).count() == 0
 
 
+def test_diff_results_duplicate_keys_are_reported_not_paired(spark):
+    a = spark.createDataFrame([(1, 1.0)] * 500 + [(2, 2.0)], "k int, v double")
+    b = spark.createDataFrame([(1, 1.0)] * 400 + [(2, 2.0)], "k int, v double")
+    out = {r.k: r.diff for r in diff_results(a, b, ["k"]).collect()}
+    assert out == {1: "duplicate_key"}
+
+
 def test_diff_multiset(spark):
     a = spark.createDataFrame([(1,), (1,), (2,)], "k int")
     b = spark.createDataFrame([(1,), (3,)], "k int")
