@@ -77,8 +77,15 @@ def ranked(
     if method == "dense":
         values = df.select(*keys).distinct()
         ids = sequence_id(values, order_by, start=1, name=name)
-        return df.join(ids, list(keys), "inner")
-    if method == "rank":
-        numbered = sequence_id(df, [*order_by, *tie_break], start=1, name="_qf_rn")
-        first = numbered.groupBy(*keys).agg(F.min("_qf_rn").alias(name))
-        return numbered.join(first, list(keys), "inner").drop("_qf_rn")
+        return _join_null_safe(df, ids.select(*keys, name), keys)
+    numbered = sequence_id(df, [*order_by, *tie_break], start=1, name="_qf_rn")
+    first = numbered.groupBy(*keys).agg(F.min("_qf_rn").alias(name))
+    return _join_null_safe(numbered, first, keys).drop("_qf_rn")
+
+
+def _join_null_safe(df: DataFrame, ranks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join ``ranks`` (one row per key value) back to ``df``; NULL key values match too,
+    so rows with a NULL measure keep their rank instead of disappearing."""
+    r = ranks.select(*[F.col(k).alias(f"_qf_k_{k}") for k in keys], *[c for c in ranks.columns if c not in keys])
+    cond = [df[k].eqNullSafe(r[f"_qf_k_{k}"]) for k in keys]
+    return df.join(r, cond, "inner").drop(*[f"_qf_k_{k}" for k in keys])

@@ -234,6 +234,15 @@ def test_rank_with_ties_parallel_and_bounded(spark):
         assert dict((r.k, r.r) for r in out.collect()) == {"b": 1, "a": 2, "c": 2, "d": 4}
 
 
+def test_rank_keeps_null_measures(spark):
+    df = spark.createDataFrame([("a", 5.0), ("b", None), ("c", 7.0)], "k string, m double")
+    for method in ("rank", "dense"):
+        for bounded in (False, True):
+            out = ranked(df, [F.desc_nulls_last("m")], keys=["m"], name="r", method=method,
+                         tie_break=[F.asc("k")], bounded=bounded)
+            assert dict((r.k, r.r) for r in out.collect()) == {"c": 1, "a": 2, "b": 3}
+
+
 def test_top_k_tie_break(spark):
     df = spark.createDataFrame([("b", 2), ("a", 2), ("c", 1)], "k string, n int")
     assert [r.k for r in top_k(df, [F.desc("n"), F.asc("k")], 2).collect()] == ["a", "b"]
