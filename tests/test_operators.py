@@ -338,3 +338,23 @@ def test_null_group_key(spark):
     df = spark.createDataFrame([(None, "fail"), (None, "pass")], "g string, result string")
     out = evaluate(df, [REGISTRY.measures["defect_rate_pct"]], by=["g"]).first()
     assert (out.g, out.defect_rate_pct) == (None, 50.0)
+
+
+def test_single_date_table(spark):
+    import datetime as _dt
+
+    from qualityframe.plans import jobs
+
+    day = _dt.datetime(2025, 6, 2, 0, 0)
+    rows = [(day, "WH-A", "D1", f"S{i % 3}", f"K{i}", i % 4 + 1, "label_scan", ["pass", "fail"][i % 2], 0.9,
+             None if i % 2 == 0 else "torn_label", None if i % 2 == 0 else "minor", 10) for i in range(40)]
+    from conftest import ITEM_SCHEMA
+
+    items = spark.createDataFrame(rows, ITEM_SCHEMA)
+    assert latest_snapshot(items, "inspection_timestamp", "month").count() == 40
+    ids = sequence_id(items, ["inspection_timestamp", "item_sku"], start=1, name="n", num_partitions=4)
+    assert ids.agg(F.min("n"), F.max("n"), F.countDistinct("n")).first() == (1, 40, 40)
+    assert spine_from_bounds(items.agg(F.min("inspection_timestamp").alias("a"), F.max("inspection_timestamp").alias("b")),
+                             "a", "b").count() == 1
+    r = jobs.shipment_rollup(items)
+    assert r.agg(F.sum("verified_item_count"), F.max("total_scan_duration_seconds")).first() == (40, 0)

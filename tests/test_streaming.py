@@ -9,7 +9,20 @@ from qualityframe.sources.tables import Tables
 from qualityframe.streaming import daily_trend_stream, read_table_stream
 
 
-def test_stream_daily_trend_matches_batch(spark):
+import pytest
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles"])
+def test_stream_daily_trend_matches_batch(spark, zone):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        _check_stream_matches_batch(spark)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def _check_stream_matches_batch(spark):
     stream_items = jobs.item_facts(read_table_stream(spark, SF0001, "lineitem"))
     agg = daily_trend_stream(stream_items)
     ckpt = tempfile.mkdtemp(prefix="qf-stream-")
