@@ -34,6 +34,7 @@ from qualityframe.session import ensure_checkpoint_dir
 _PID = "_qf_pid"
 _MID = "_qf_mid"
 _OFF = "_qf_off"
+_TIE = "_qf_tie"
 
 
 def _sort_orders(order_by: Sequence[ColumnLike]) -> list[Column]:
@@ -46,17 +47,26 @@ def sequence_id(
     start: int = 1,
     name: str = "seq_id",
     num_partitions: int | None = None,
+    spread_ties: bool = True,
 ) -> DataFrame:
     """Add ``name`` = start, start+1, ... following ``order_by`` (ascending, nulls first
-    unless the Columns say otherwise)."""
+    unless the Columns say otherwise). Rows that tie on ``order_by`` are numbered in input
+    order; with a total order the ids equal ``ROW_NUMBER() OVER (ORDER BY ...)``."""
     if not order_by:
         raise ValueError("sequence_id needs an ordering")
     orders = _sort_orders(order_by)
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if spread_ties:
+        # last sort key = input position: rows with equal sort keys (e.g. one key holding a
+        # third of the rows) can then be cut across range partitions instead of landing in one
+        df = df.withColumn(_TIE, F.monotonically_increasing_id())
+        orders = [*orders, F.col(_TIE)]
     ordered = df.repartitionByRange(n, *orders).sortWithinPartitions(*orders)
     tagged = ordered.withColumn(_PID, F.spark_partition_id()).withColumn(_MID, F.monotonically_increasing_id())
     ensure_checkpoint_dir(df.sparkSession)
     tagged = tagged.checkpoint(eager=True)
+    if spread_ties:
+        tagged = tagged.drop(_TIE)
     counts = tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_qf_n"))
     # At most one row per partition: a bounded table, safe to window and broadcast.
     w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)

@@ -148,6 +148,17 @@ def test_sequence_id_hot_leading_key(spark):
     assert plan.count("SinglePartition") <= 1
 
 
+def test_sequence_id_spreads_a_hot_duplicated_key(spark):
+    # 20,000 of 30,000 rows share the whole sort key: they must not all land in one task
+    df = spark.range(0, 30000).select(F.when(F.col("id") < 20000, F.lit(1)).otherwise(F.col("id")).alias("k"))
+    out = sequence_id(df, ["k"], start=1, name="sid", num_partitions=8)
+    assert out.agg(F.min("sid"), F.max("sid"), F.countDistinct("sid")).first() == (1, 30000, 30000)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 10000
+    # ids still follow the key order
+    assert out.filter(F.col("k") == 1).agg(F.max("sid")).first()[0] == 20000
+
+
 def test_format_id_never_truncates(spark):
     df = spark.createDataFrame([(10001,), (12345678,)], "n long")
     got = [r[0] for r in df.select(format_id("INS-", "n", 7)).collect()]
