@@ -548,16 +548,9 @@ def q_diff_results(spark, source):
 @query
 def q_publish_summary(spark, source):
     """Publish T1-T3 as commented tables in a schema; report rows per table."""
-    from qualityframe.sources.publish import publish_all
+    from qualityframe.plans.deploy import deploy
 
-    t = _t(spark, source)
-    items = _items(t)
-    tables = {
-        "inspection_events": jobs.item_outcomes(t.lineitem, t.part, t.supplier, t.nation),
-        "dock_scans": jobs.shipment_rollup(items),
-        "model_performance": _metrics(t),
-    }
-    summary = publish_all(spark, tables, schema="qualityframe_published")
+    summary = deploy(spark, _t(spark, source), schema="qualityframe_published")
     rows = [(name, int(n)) for name, n in summary["tables"].items()]
     return spark.createDataFrame(rows, "table_name string, rows long")
 

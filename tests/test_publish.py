@@ -70,3 +70,15 @@ def test_latest_snapshot_prunes_published_partitions(spark):
     expected = sorted(tuple(r) for r in QUERIES["q_latest_snapshot_avg"](spark, SF0001).collect())
     assert sorted(tuple(r) for r in q.collect()) == expected
     drop_dataset(spark, schema)
+
+
+def test_deploy_and_teardown(spark):
+    from conftest import SF0001
+
+    from qualityframe.plans.deploy import deploy, teardown
+
+    result = deploy(spark, SF0001, schema="qf_test_deploy")
+    assert set(result["tables"]) == {"inspection_events", "dock_scans", "model_performance"}
+    assert result["tables"]["inspection_events"] == spark.table("qf_test_deploy.inspection_events").count()
+    out = teardown(spark, **result)
+    assert out["dropped"]
