@@ -50,8 +50,10 @@ def sequence_id(
     spread_ties: bool = True,
 ) -> DataFrame:
     """Add ``name`` = start, start+1, ... following ``order_by`` (ascending, nulls first
-    unless the Columns say otherwise). Rows that tie on ``order_by`` are numbered in input
-    order; with a total order the ids equal ``ROW_NUMBER() OVER (ORDER BY ...)``."""
+    unless the Columns say otherwise). Rows that tie on ``order_by`` get consecutive ids in
+    an arbitrary order (input order for a file scan); with a total order the ids equal
+    ``ROW_NUMBER() OVER (ORDER BY ...)``. Ids are always dense and unique: positions are
+    read back from the one checkpointed copy."""
     if not order_by:
         raise ValueError("sequence_id needs an ordering")
     orders = _sort_orders(order_by)
