@@ -80,3 +80,31 @@ def value_dictionary(df: DataFrame, columns: Sequence[str], table_name: str | No
     if table_name is not None:
         counted = counted.select(F.lit(table_name).alias("table_name"), "*")
     return counted
+
+
+def check_answer(actual: DataFrame, expected: DataFrame, keys: Sequence[str] | None = None) -> dict:
+    """Grade ``actual`` against a gold answer: column names and types, then row differences
+    (keyed with ``diff_results``, else as multisets). Only the per-kind counts (a handful of
+    rows) reach the driver."""
+    a_schema = {f.name: f.dataType.simpleString() for f in actual.schema.fields}
+    e_schema = {f.name: f.dataType.simpleString() for f in expected.schema.fields}
+    result: dict = {
+        "missing_columns": sorted(set(e_schema) - set(a_schema)),
+        "extra_columns": sorted(set(a_schema) - set(e_schema)),
+        "type_mismatches": sorted(c for c in set(a_schema) & set(e_schema) if a_schema[c] != e_schema[c]),
+    }
+    result["schema_match"] = not (result["missing_columns"] or result["extra_columns"] or result["type_mismatches"])
+    counts = {"only_left": 0, "only_right": 0, "changed": 0, "duplicate_key": 0}
+    if result["schema_match"]:
+        cols = list(e_schema)
+        if keys:
+            diffs = diff_results(actual.select(*cols), expected.select(*cols), keys)
+            kinds = diffs.groupBy("diff").count()
+        else:
+            kinds = diff_multiset(actual.select(*cols), expected.select(*cols)).groupBy(
+                F.col("side").alias("diff")
+            ).count()
+        counts.update({r["diff"]: r["count"] for r in kinds.collect()})
+    result.update(counts)
+    result["passed"] = result["schema_match"] and not any(counts.values())
+    return result
