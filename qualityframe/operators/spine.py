@@ -155,12 +155,13 @@ def effective_from(
     date_col: ColumnLike,
     schedule: DataFrame,
     valid_from: str = "valid_from",
-    broadcast_schedule: bool = True,
+    broadcast_schedule: bool = False,
 ) -> DataFrame:
     """Keep rows whose ``key`` is already in effect on their date (date >= valid_from).
 
     The schedule is one row per key (e.g. per model version); keys missing from it are
-    dropped. It is broadcast when the caller vouches for its size (an inline list).
+    dropped. Set ``broadcast_schedule`` when its size is bounded by construction (an
+    inline list); otherwise Spark's size-checked join selection decides.
     """
     sched = schedule.select(F.col(key), F.col(valid_from).alias("_qf_valid_from"))
     if broadcast_schedule:

@@ -387,7 +387,8 @@ def q_effective_versions(spark, source):
     first_month = F.trunc(F.to_date(t.lineitem.select(F.min("l_shipdate")).scalar()), "month")
     offsets = dimension(spark, VERSION_START_OFFSETS, "model_version string, months int")
     schedule = offsets.select("model_version", F.add_months(first_month, F.col("months")).alias("valid_from"))
-    eligible = effective_from(preds, "model_version", "ts", schedule)
+    # the schedule is the three-row inline list above: a bounded broadcast
+    eligible = effective_from(preds, "model_version", "ts", schedule, broadcast_schedule=True)
     return eligible.groupBy("model_version").agg(
         F.count(F.lit(1)).alias("predictions"),
         F.countDistinct(M.bucket("ts", "month")).alias("eligible_months"),
