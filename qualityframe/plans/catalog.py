@@ -53,12 +53,16 @@ def _t(spark: SparkSession, source: str) -> Tables:
     return Tables.shared(spark, source)
 
 
+# Derived inputs shared by several questions are built once per (session, source) as
+# lazy views; every query still reads the whole tables when it runs.
+
+
 def _items(t: Tables) -> DataFrame:
-    return jobs.item_facts(t.lineitem)
+    return t.view("items", lambda: jobs.item_facts(t.lineitem))
 
 
 def _products(t: Tables) -> DataFrame:
-    return jobs.product_dim(t.part)
+    return t.view("products", lambda: jobs.product_dim(t.part))
 
 
 def _facilities(t: Tables):
@@ -66,11 +70,11 @@ def _facilities(t: Tables):
 
 
 def _metrics(t: Tables) -> DataFrame:
-    return jobs.model_metrics_monthly(_items(t), _facilities(t))
+    return t.view("metrics", lambda: jobs.model_metrics_monthly(_items(t), _facilities(t)))
 
 
 def _scans(t: Tables) -> DataFrame:
-    return jobs.shipment_scans(jobs.shipment_rollup(_items(t)), t.orders)
+    return t.view("scans", lambda: jobs.shipment_scans(jobs.shipment_rollup(_items(t)), t.orders))
 
 
 def _events_as_items(t: Tables) -> DataFrame:

@@ -8,7 +8,7 @@ scan; nothing here caches or collects.
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +57,7 @@ class Tables:
         self.spark = spark
         self.source = source
         self._cache: dict[str, DataFrame] = {}
+        self._views: dict[str, DataFrame] = {}
 
     @classmethod
     def shared(cls, spark: SparkSession, source: str) -> "Tables":
@@ -67,8 +68,16 @@ class Tables:
         return t
 
     def refresh(self) -> None:
-        """Forget the read DataFrames (re-list files on next access)."""
+        """Forget the read DataFrames and derived views (re-list files on next access)."""
         self._cache.clear()
+        self._views.clear()
+
+    def view(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A derived lazy DataFrame built once per accessor (like a session temp view):
+        questions sharing an input reuse one plan instead of rebuilding its expressions."""
+        if name not in self._views:
+            self._views[name] = build()
+        return self._views[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in TABLE_NAMES:
