@@ -19,6 +19,9 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # remove sequence-id checkpoints once their DataFrames are garbage collected
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # the Python call-site capture for error messages costs several JVM round trips per
+    # Column function call while plans are built; batch jobs do not need it
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
