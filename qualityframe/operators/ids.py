@@ -48,12 +48,14 @@ def sequence_id(
     name: str = "seq_id",
     num_partitions: int | None = None,
     spread_ties: bool = True,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add ``name`` = start, start+1, ... following ``order_by`` (ascending, nulls first
     unless the Columns say otherwise). Rows that tie on ``order_by`` get consecutive ids in
     an arbitrary order (input order for a file scan); with a total order the ids equal
     ``ROW_NUMBER() OVER (ORDER BY ...)``. Ids are always dense and unique: positions are
-    read back from the one checkpointed copy."""
+    read back from the one checkpointed copy. ``keep`` limits the output (and the
+    checkpointed copy) to the columns needed downstream; sort-only columns can be left out."""
     if not order_by:
         raise ValueError("sequence_id needs an ordering")
     orders = _sort_orders(order_by)
@@ -64,11 +66,10 @@ def sequence_id(
         df = df.withColumn(_TIE, F.monotonically_increasing_id())
         orders = [*orders, F.col(_TIE)]
     ordered = df.repartitionByRange(n, *orders).sortWithinPartitions(*orders)
-    tagged = ordered.withColumn(_PID, F.spark_partition_id()).withColumn(_MID, F.monotonically_increasing_id())
+    out_cols = list(keep) if keep is not None else [c for c in df.columns if c != _TIE]
+    tagged = ordered.select(*out_cols, F.spark_partition_id().alias(_PID), F.monotonically_increasing_id().alias(_MID))
     ensure_checkpoint_dir(df.sparkSession)
     tagged = tagged.checkpoint(eager=True)
-    if spread_ties:
-        tagged = tagged.drop(_TIE)
     counts = tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_qf_n"))
     # At most one row per partition: a bounded table, safe to window and broadcast.
     w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)

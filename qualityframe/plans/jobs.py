@@ -36,6 +36,11 @@ MODEL_BY_TYPE = {"item_count": "item_counter", "label_scan": "label_reader", "da
 VERSION_THRESHOLDS = (("v1.0", 0.05), ("v1.1", 0.06), ("v1.2", 0.07))
 INBOUND_PRIORITIES = ("1-URGENT", "2-HIGH")
 
+ITEM_SOURCE_COLUMNS = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_returnflag", "l_discount", "l_tax",
+    "l_quantity",
+)
+
 LINEITEM_ORDER = (
     "l_shipdate", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
     "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
@@ -177,7 +182,10 @@ def item_outcomes(
     Ids follow (l_shipdate, then every other lineitem column): a total order on this
     data, so they equal ROW_NUMBER() OVER (ORDER BY ...) + base, computed in parallel.
     """
-    numbered = sequence_id(lineitem, list(LINEITEM_ORDER), start=id_base + 1, name="_qf_seq")
+    # sort by every column, but checkpoint only the columns the item facts use
+    numbered = sequence_id(
+        lineitem, list(LINEITEM_ORDER), start=id_base + 1, name="_qf_seq", keep=list(ITEM_SOURCE_COLUMNS)
+    )
     facts = item_facts(numbered, rules, extra=("_qf_seq",))
     facts = facts.withColumn("inspection_id", format_id(id_prefix, "_qf_seq", id_width))
     return _attach_items(facts, part, supplier, nation)
