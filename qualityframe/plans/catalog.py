@@ -359,8 +359,8 @@ def q_weekday_filter(spark, source):
 
 
 def _event_panel(t: Tables) -> DataFrame:
-    lo = t.events.select(F.min("ts")).scalar()
-    hi = t.events.select(F.max("ts")).scalar()
+    bounds = t.events.select(F.struct(F.min("ts").alias("lo"), F.max("ts").alias("hi"))).scalar()
+    lo, hi = bounds.getField("lo"), bounds.getField("hi")
     types = t.events.select("event_type").distinct()
     # each (distributed) event type row generates its calendar: no join, no broadcast
     return panel(types, (lo, hi), "day", "d")
