@@ -43,7 +43,7 @@ def date_spine(
     """One row per day (or month start) in [start, end], built in parallel from ``range``.
 
     ``EXPLODE(SEQUENCE(..))`` would build the whole calendar inside one task; ``range``
-    spreads it over ``num_partitions`` tasks so a later cross join stays parallel.
+    spreads it over ``num_partitions`` tasks, so work keyed by the calendar starts out parallel.
     """
     if step not in _STEPS:
         raise ValueError(f"step must be one of {_STEPS}")
