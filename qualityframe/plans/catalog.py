@@ -531,6 +531,13 @@ def q_value_dictionary(spark, source):
     )
 
 
+@query
+def q_item_value_dictionary(spark, source):
+    """Categorical values of the item table (as used for entity matching), with row counts."""
+    items = _items(_t(spark, source))
+    return value_dictionary(items, ["inspection_type", "result", "defect_type", "severity"], "inspection_events")
+
+
 def perturbed_orders(orders: DataFrame) -> DataFrame:
     """A copy of ``orders`` with about 2% of prices changed, 1% of rows removed and 1%
     duplicated under a new (negated) key, chosen by md5 hash of the key."""
