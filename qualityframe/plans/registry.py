@@ -94,7 +94,12 @@ def evaluate(
     where: Sequence[Filter] = (),
     via: Via | None = None,
 ) -> DataFrame:
-    """Answer ``measures`` grouped ``by`` (names or Dimensions) over rows passing ``where``."""
+    """Answer ``measures`` grouped ``by`` (names or Dimensions) over rows passing ``where``.
+
+    With ``via``, ``where`` filters and Dimension expressions apply to the fact rows before
+    the pre-aggregation (they must use fact columns); names in ``by`` may come from either
+    side: fact columns join the pre-aggregation key, the rest come from the dimension.
+    """
     for f in where:
         df = df.filter(f.expr())
     by_names: list[str] = []
