@@ -58,6 +58,9 @@ class Via:
     dim_keys: Sequence[str] = ()
     broadcast: bool = False
     attach: Callable[[DataFrame], DataFrame] | None = None
+    # False: join the fact rows to the dimension first and aggregate once (best when the
+    # dimension is small enough to broadcast and keys are not skewed)
+    preaggregate: bool = True
 
     def join(self, pre: DataFrame) -> DataFrame:
         if self.attach is not None:
@@ -113,6 +116,8 @@ def evaluate(
     for m in measures:
         for alias, spec in m.parts().items():
             parts.setdefault(alias, spec)
+    if via is not None and not via.preaggregate:
+        df, via = via.join(df), None
     if via is None:
         grouped = df.groupBy(*by_names).agg(*[agg.alias(a) for a, (agg, _) in parts.items()])
     else:

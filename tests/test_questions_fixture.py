@@ -81,6 +81,15 @@ def test_via_equals_direct_join(items, products):
     assert sorted(map(tuple, via.collect())) == sorted(map(tuple, direct.collect()))
 
 
+def test_via_direct_join_equals_preaggregation(items, products):
+    m = REGISTRY.measures
+    ms = [m["total_inspections"], m["avg_confidence"], m["defect_rate_pct"]]
+    pre = evaluate(items, ms, by=["product_category"], via=Via(["item_sku"], products, ["p_partkey"]))
+    direct = evaluate(items, ms, by=["product_category"],
+                      via=Via(["item_sku"], products, ["p_partkey"], broadcast=True, preaggregate=False))
+    assert sorted(map(tuple, pre.collect())) == sorted(map(tuple, direct.collect()))
+
+
 def test_shipment_rollup(items):
     out = jobs.shipment_rollup(items)
     got = {
