@@ -11,6 +11,11 @@ Two methods:
 Keys should be strings, integers or dates: their text form is the same everywhere.
 The value depends only on the key values, so results do not change with partitioning,
 row order, retries or cluster size.
+
+Caveats: NULL key values are skipped by both methods (Spark's ``hash`` ignores NULL
+arguments; ``concat_ws`` drops them), so ``(a, NULL)`` hashes like ``(a)``. Under
+murmur3 the date, string and timestamp forms of the same day give different values, so
+keep key types stable between runs that must agree.
 """
 
 from __future__ import annotations
