@@ -369,3 +369,22 @@ def test_single_date_table(spark):
                              "a", "b").count() == 1
     r = jobs.shipment_rollup(items)
     assert r.agg(F.sum("verified_item_count"), F.max("total_scan_duration_seconds")).first() == (40, 0)
+
+
+def test_round_half_up_matches_decimal_reading(spark):
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+
+    rnd = random.Random(7)
+    values = [rnd.uniform(0, 1000) for _ in range(500)] + [round(rnd.uniform(0, 100), 3) for _ in range(500)]
+    values += [0.05, 0.15, 0.25, 1.005, 2.675, 0.285, 66.65, 99.95, 6.25, 33.35]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [(r.x, r.r1, r.r3) for r in df.select("x", M.round_half_up("x", 1).alias("r1"),
+                                                M.round_half_up("x", 3).alias("r3")).collect()]
+
+    def expect(x, digits):
+        d = Decimal(repr(x)).quantize(Decimal("1e-8"), ROUND_HALF_UP)
+        return float(d.quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+    bad = [(x, r1, r3) for x, r1, r3 in got if r1 != expect(x, 1) or r3 != expect(x, 3)]
+    assert not bad, bad[:5]
