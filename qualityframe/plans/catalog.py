@@ -215,38 +215,60 @@ def q_defect_category(spark, source):
 # ---------------------------------------------------------------------------
 
 
+# Rate rules over (product category, inspection type, month of year),
+# first match wins; None matches anything. Categories are the test data's part types.
+SELECTION_RATE_RULES = (
+    ("PROMO", "damage_check", None, 0.0040),
+    ("STANDARD", "label_scan", None, 0.0035),
+    ("STANDARD", None, (11, 12), 0.0045),
+    ("PROMO", None, None, 0.0030),
+    ("SMALL", None, None, 0.0025),
+    ("LARGE", None, (3, 4, 9, 10), 0.0035),
+    ("MEDIUM", None, (4, 5, 6), 0.0030),
+)
+SELECTION_RATE_DEFAULT = 0.0020
+
+# Base failure rates, same rule form.
+FAIL_RATE_RULES = (
+    ("PROMO", "damage_check", None, 0.18),
+    ("STANDARD", "label_scan", None, 0.14),
+    ("LARGE", "damage_check", None, 0.10),
+    ("SMALL", "damage_check", None, 0.08),
+    (None, "item_count", None, 0.06),
+    (None, "label_scan", None, 0.09),
+    (None, "damage_check", None, 0.11),
+)
+FAIL_RATE_DEFAULT = 0.07
+
+# Seasonal factors by month of year (first match), else 1.0.
+SEASONAL_FACTORS = (((11, 12), 1.3), ((6, 7), 0.85))
+
+
+def _rate_rules(table, default, cat, itype, month):
+    """``classify`` rules from a (category, type, months, value) table."""
+    rules = []
+    for c, t, months, value in table:
+        cond = F.lit(True)
+        if c is not None:
+            cond = cond & (cat == c)
+        if t is not None:
+            cond = cond & (itype == t)
+        if months is not None:
+            cond = cond & month.isin(*months)
+        rules.append((cond, value))
+    return classify(rules, default)
+
+
 def _selection_rate(cat, itype, month):
-    return classify(
-        [
-            ((cat == "PROMO") & (itype == "damage_check"), 0.0040),
-            ((cat == "STANDARD") & (itype == "label_scan"), 0.0035),
-            ((cat == "STANDARD") & month.isin(11, 12), 0.0045),
-            (cat == "PROMO", 0.0030),
-            (cat == "SMALL", 0.0025),
-            ((cat == "LARGE") & month.isin(3, 4, 9, 10), 0.0035),
-            ((cat == "MEDIUM") & month.isin(4, 5, 6), 0.0030),
-        ],
-        0.0020,
-    )
+    return _rate_rules(SELECTION_RATE_RULES, SELECTION_RATE_DEFAULT, cat, itype, month)
 
 
-def _base_fail_rate(cat, itype):
-    return classify(
-        [
-            ((cat == "PROMO") & (itype == "damage_check"), 0.18),
-            ((cat == "STANDARD") & (itype == "label_scan"), 0.14),
-            ((cat == "LARGE") & (itype == "damage_check"), 0.10),
-            ((cat == "SMALL") & (itype == "damage_check"), 0.08),
-            (itype == "item_count", 0.06),
-            (itype == "label_scan", 0.09),
-            (itype == "damage_check", 0.11),
-        ],
-        0.07,
-    )
+def _base_fail_rate(cat, itype, month):
+    return _rate_rules(FAIL_RATE_RULES, FAIL_RATE_DEFAULT, cat, itype, month)
 
 
 def _seasonal_factor(month):
-    return classify([(month.isin(11, 12), 1.3), (month.isin(6, 7), 0.85)], 1.0)
+    return classify([(month.isin(*months), factor) for months, factor in SEASONAL_FACTORS], 1.0)
 
 
 def _items_with_category(t: Tables) -> DataFrame:
@@ -269,22 +291,29 @@ def q_banded_outcome(spark, source):
     """Outcome bands from a per-row rate times a seasonal factor against a hash score."""
     items = _items_with_category(_t(spark, source))
     month = F.month("inspection_timestamp")
-    rate = scaled_rate(_base_fail_rate(F.col("product_category"), F.col("inspection_type")), _seasonal_factor(month))
+    base = _base_fail_rate(F.col("product_category"), F.col("inspection_type"), month)
+    rate = scaled_rate(base, _seasonal_factor(month))
     score = hash_fraction(SEED, "outcome", "shipment_id", "l_linenumber", method="md5")
     outcome = banded_outcome(score, rate, 0.05)
     return items.groupBy("product_category", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("items"))
 
 
+# Confidence bands (base, width) per outcome, score = base + width * noise.
+CONFIDENCE_BANDS = {"pass": (0.85, 0.15), "warning": (0.55, 0.25), "fail": (0.30, 0.35)}
+
+# Precision score = base + rank * step + bias + width * noise, clamped to [lo, hi];
+# bias by part type (first match), else 0.
+PRECISION_SCORE = (85.0, 3.5, 8.0, 70.0, 99.5)
+PRECISION_BIAS = ((("PROMO",), -3.0), (("STANDARD", "SMALL"), 2.0))
+
+
 @query
 def q_banded_linear(spark, source):
     """Per-outcome linear confidence band on a hash score, rounded to 2 dp, summarised."""
     items = _items(_t(spark, source))
     noise = hash_fraction(SEED, "confidence", "shipment_id", "l_linenumber", method="md5")
-    score = banded_linear(
-        noise,
-        [(F.col("result") == "pass", 0.85, 0.15), (F.col("result") == "warning", 0.55, 0.25)],
-        (0.30, 0.35),
-    )
+    cases = [(F.col("result") == r, base, width) for r, (base, width) in CONFIDENCE_BANDS.items() if r != "fail"]
+    score = banded_linear(noise, cases, CONFIDENCE_BANDS["fail"])
     scored = items.select("inspection_type", "result", M.round_half_up(score, 2).alias("score"))
     return scored.groupBy("inspection_type", "result").agg(
         F.count(F.lit(1)).alias("items"),
@@ -298,12 +327,11 @@ def q_banded_linear(spark, source):
 def q_effects_score(spark, source):
     """Clamped additive score per part: base + size-rank step + category bias + noise."""
     part = _t(spark, source).part
+    base, step, width, lo, hi = PRECISION_SCORE
     rank = F.pmod(F.col("p_size"), F.lit(3))
-    bias = classify(
-        [(F.col("p_type") == "PROMO", -3.0), (F.col("p_type").isin("STANDARD", "SMALL"), 2.0)], 0.0
-    )
+    bias = classify([(F.col("p_type").isin(*types), b) for types, b in PRECISION_BIAS], 0.0)
     noise = hash_fraction(SEED, "precision", "p_partkey", method="md5")
-    score = effects_score(85.0, noise, 8.0, 70.0, 99.5, rank * F.lit(3.5), bias)
+    score = effects_score(base, noise, width, lo, hi, rank * F.lit(step), bias)
     return part.select("p_partkey", rank.alias("version_rank"), M.round_half_up(score, 1).alias("precision_pct"))
 
 
