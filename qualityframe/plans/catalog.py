@@ -89,62 +89,62 @@ def _events_as_items(t: Tables) -> DataFrame:
 
 
 @query
-def q_defect_rate_by_category(spark, source):
+def q_defect_rate_by_category(spark: SparkSession, source: str) -> DataFrame:
     t = _t(spark, source)
     return questions.defect_rate_by_category(_items(t), _products(t))
 
 
 @query
-def q_this_period_rate(spark, source):
+def q_this_period_rate(spark: SparkSession, source: str) -> DataFrame:
     t = _t(spark, source)
     return questions.this_period_rate(_items(t), _products(t))
 
 
 @query
-def q_latest_snapshot_avg(spark, source):
+def q_latest_snapshot_avg(spark: SparkSession, source: str) -> DataFrame:
     return questions.latest_fp_rate(_metrics(_t(spark, source)))
 
 
 @query
-def q_carrier_ranking(spark, source):
+def q_carrier_ranking(spark: SparkSession, source: str) -> DataFrame:
     t = _t(spark, source)
     return questions.carrier_ranking(_scans(t), jobs.carrier_dim(t.customer))
 
 
 @query
-def q_daily_trend(spark, source):
+def q_daily_trend(spark: SparkSession, source: str) -> DataFrame:
     return questions.daily_trend(_events_as_items(_t(spark, source)))
 
 
 @query
-def q_version_comparison(spark, source):
+def q_version_comparison(spark: SparkSession, source: str) -> DataFrame:
     return questions.version_comparison(_metrics(_t(spark, source)))
 
 
 @query
-def q_best_version(spark, source):
+def q_best_version(spark: SparkSession, source: str) -> DataFrame:
     return questions.best_version(_metrics(_t(spark, source)))
 
 
 @query
-def q_accuracy_by_facility(spark, source):
+def q_accuracy_by_facility(spark: SparkSession, source: str) -> DataFrame:
     return questions.accuracy_by_facility(_metrics(_t(spark, source)))
 
 
 @query
-def q_mean_duration_by_facility(spark, source):
+def q_mean_duration_by_facility(spark: SparkSession, source: str) -> DataFrame:
     t = _t(spark, source)
     return questions.mean_duration_by_facility(_items(t), _facilities(t))
 
 
 @query
-def q_mean_duration_by_dock(spark, source):
+def q_mean_duration_by_dock(spark: SparkSession, source: str) -> DataFrame:
     t = _t(spark, source)
     return questions.mean_duration_by_dock(_items(t), _facilities(t))
 
 
 @query
-def q_top_critical_items(spark, source):
+def q_top_critical_items(spark: SparkSession, source: str) -> DataFrame:
     t = _t(spark, source)
     return questions.top_critical_items(_items(t), _products(t), k=10)
 
@@ -161,39 +161,39 @@ def _order_scans(t: Tables) -> DataFrame:
 
 
 @query
-def q_inbound_rejected_rate(spark, source):
+def q_inbound_rejected_rate(spark: SparkSession, source: str) -> DataFrame:
     return questions.inbound_rejected_rate(_order_scans(_t(spark, source)))
 
 
 @query
-def q_critical_trend(spark, source):
+def q_critical_trend(spark: SparkSession, source: str) -> DataFrame:
     return questions.critical_trend(_items(_t(spark, source)))
 
 
 @query
-def q_mismatch_items(spark, source):
+def q_mismatch_items(spark: SparkSession, source: str) -> DataFrame:
     t = _t(spark, source)
     return questions.mismatch_items(_items(t), _products(t))
 
 
 @query
-def q_mean_score_by_type(spark, source):
+def q_mean_score_by_type(spark: SparkSession, source: str) -> DataFrame:
     return questions.mean_score_by_type(_t(spark, source).events, "event_type", "value", "avg_value")
 
 
 @query
-def q_metric_by_month(spark, source):
+def q_metric_by_month(spark: SparkSession, source: str) -> DataFrame:
     return questions.metric_summary(_items(_t(spark, source)), by=[REGISTRY.dimensions["inspection_month"]])
 
 
 @query
-def q_metric_by_category(spark, source):
+def q_metric_by_category(spark: SparkSession, source: str) -> DataFrame:
     t = _t(spark, source)
     return questions.metric_summary(_items(t), by=["product_category"], via=Via(["item_sku"], _products(t), ["p_partkey"]))
 
 
 @query
-def q_inbound_scan_time(spark, source):
+def q_inbound_scan_time(spark: SparkSession, source: str) -> DataFrame:
     """Registry scan measures: mean scan time of inbound shipments per carrier."""
     t = _t(spark, source)
     return evaluate(
@@ -206,7 +206,7 @@ def q_inbound_scan_time(spark, source):
 
 
 @query
-def q_defect_category(spark, source):
+def q_defect_category(spark: SparkSession, source: str) -> DataFrame:
     return questions.defect_categories(_items(_t(spark, source)))
 
 
@@ -276,7 +276,7 @@ def _items_with_category(t: Tables) -> DataFrame:
 
 
 @query
-def q_rule_classify(spark, source):
+def q_rule_classify(spark: SparkSession, source: str) -> DataFrame:
     """First-match rate rules on (category, type, month); items per assigned rate."""
     items = _items_with_category(_t(spark, source))
     month = F.month("inspection_timestamp")
@@ -287,7 +287,7 @@ def q_rule_classify(spark, source):
 
 
 @query
-def q_banded_outcome(spark, source):
+def q_banded_outcome(spark: SparkSession, source: str) -> DataFrame:
     """Outcome bands from a per-row rate times a seasonal factor against a hash score."""
     items = _items_with_category(_t(spark, source))
     month = F.month("inspection_timestamp")
@@ -308,7 +308,7 @@ PRECISION_BIAS = ((("PROMO",), -3.0), (("STANDARD", "SMALL"), 2.0))
 
 
 @query
-def q_banded_linear(spark, source):
+def q_banded_linear(spark: SparkSession, source: str) -> DataFrame:
     """Per-outcome linear confidence band on a hash score, rounded to 2 dp, summarised."""
     items = _items(_t(spark, source))
     noise = hash_fraction(SEED, "confidence", "shipment_id", "l_linenumber", method="md5")
@@ -324,7 +324,7 @@ def q_banded_linear(spark, source):
 
 
 @query
-def q_effects_score(spark, source):
+def q_effects_score(spark: SparkSession, source: str) -> DataFrame:
     """Clamped additive score per part: base + size-rank step + category bias + noise."""
     part = _t(spark, source).part
     base, step, width, lo, hi = PRECISION_SCORE
@@ -336,7 +336,7 @@ def q_effects_score(spark, source):
 
 
 @query
-def q_harmonic_mean(spark, source):
+def q_harmonic_mean(spark: SparkSession, source: str) -> DataFrame:
     """F1 per category as the harmonic mean of precision and recall of 'discount > 0.05'."""
     t = _t(spark, source)
     items = _items(t)
@@ -371,17 +371,17 @@ def _order_bounds(t: Tables) -> DataFrame:
 
 
 @query
-def q_calendar_spine(spark, source):
+def q_calendar_spine(spark: SparkSession, source: str) -> DataFrame:
     return spine_from_bounds(_order_bounds(_t(spark, source)), "lo", "hi", "day", "d")
 
 
 @query
-def q_month_spine(spark, source):
+def q_month_spine(spark: SparkSession, source: str) -> DataFrame:
     return spine_from_bounds(_order_bounds(_t(spark, source)), "lo", "hi", "month", "month_start")
 
 
 @query
-def q_weekday_filter(spark, source):
+def q_weekday_filter(spark: SparkSession, source: str) -> DataFrame:
     days = spine_from_bounds(_order_bounds(_t(spark, source)), "lo", "hi", "day", "d")
     return weekdays_only(days, "d")
 
@@ -395,12 +395,12 @@ def _event_panel(t: Tables) -> DataFrame:
 
 
 @query
-def q_panel_skeleton(spark, source):
+def q_panel_skeleton(spark: SparkSession, source: str) -> DataFrame:
     return _event_panel(_t(spark, source))
 
 
 @query
-def q_densify_daily(spark, source):
+def q_densify_daily(spark: SparkSession, source: str) -> DataFrame:
     """High-value events (value >= 250) per day and type, zero-filled over the full panel."""
     t = _t(spark, source)
     facts = (
@@ -412,7 +412,7 @@ def q_densify_daily(spark, source):
 
 
 @query
-def q_effective_versions(spark, source):
+def q_effective_versions(spark: SparkSession, source: str) -> DataFrame:
     """Predictions kept only from their version's start month; rows and months per version."""
     t = _t(spark, source)
     preds = jobs.predictions(_items(t))
@@ -428,7 +428,7 @@ def q_effective_versions(spark, source):
 
 
 @query
-def q_version_rank(spark, source):
+def q_version_rank(spark: SparkSession, source: str) -> DataFrame:
     """Version labels ranked by numeric (major, minor): v2.2 before v2.10."""
     li = _t(spark, source).lineitem
     label = F.concat(F.lit("v"), F.col("l_linenumber").cast("string"), F.lit("."),
@@ -447,7 +447,7 @@ def q_version_rank(spark, source):
 
 
 @query
-def q_indexed_lookup(spark, source):
+def q_indexed_lookup(spark: SparkSession, source: str) -> DataFrame:
     """Orders assigned to an inline carrier list by a hash index; shipments per carrier."""
     t = _t(spark, source)
     carriers = dimension(spark, [(c,) for c in CARRIERS], "carrier_name string")
@@ -458,14 +458,14 @@ def q_indexed_lookup(spark, source):
 
 
 @query
-def q_sample_constant(spark, source):
+def q_sample_constant(spark: SparkSession, source: str) -> DataFrame:
     orders = _t(spark, source).orders
     s = hash_sample(orders, 0.12, ["o_orderkey"], seed=SEED, salt="constant", method="md5")
     return s.select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
 @query
-def q_sample_stratified(spark, source):
+def q_sample_stratified(spark: SparkSession, source: str) -> DataFrame:
     items = _items_with_category(_t(spark, source))
     rate = classify([(F.col("product_category") == "PROMO", 0.30), (F.col("product_category") == "STANDARD", 0.20)], 0.10)
     s = hash_sample(items, rate, ["shipment_id", "l_linenumber", "item_sku"], seed=SEED, salt="stratified",
@@ -476,34 +476,34 @@ def q_sample_stratified(spark, source):
 
 
 @query
-def q_sample_cluster(spark, source):
+def q_sample_cluster(spark: SparkSession, source: str) -> DataFrame:
     li = _t(spark, source).lineitem
     s = hash_sample(li, 0.65, ["l_suppkey"], seed=SEED, salt="cluster", method="md5")
     return s.groupBy(F.col("l_suppkey").alias("dock_id")).agg(F.count(F.lit(1)).alias("items"))
 
 
 @query
-def q_sample_murmur3(spark, source):
+def q_sample_murmur3(spark: SparkSession, source: str) -> DataFrame:
     orders = _t(spark, source).orders
     return hash_sample(orders, 0.12, ["o_orderkey"], seed=SEED, salt="constant").select("o_orderkey")
 
 
 @query
-def q_surrogate_ids(spark, source):
+def q_surrogate_ids(spark: SparkSession, source: str) -> DataFrame:
     ev = _t(spark, source).events.select("event_id", "ts")
     numbered = sequence_id(ev, ["ts", "event_id"], start=10001, name="_seq")
     return numbered.select("event_id", format_id("EVT-", "_seq", 7).alias("event_seq_id"))
 
 
 @query
-def q_assemble_timestamp(spark, source):
+def q_assemble_timestamp(spark: SparkSession, source: str) -> DataFrame:
     ev = _t(spark, source).events
     rebuilt = assemble_timestamp(F.to_date("ts"), F.hour("ts"), F.minute("ts"), 0)
     return ev.select("event_id", rebuilt.alias("event_minute"))
 
 
 @query
-def q_slugify(spark, source):
+def q_slugify(spark: SparkSession, source: str) -> DataFrame:
     s = _t(spark, source).supplier
     return s.select("s_suppkey", "s_name", slugify("s_name").alias("slug"))
 
@@ -514,18 +514,18 @@ def q_slugify(spark, source):
 
 
 @query
-def q_item_outcomes(spark, source):
+def q_item_outcomes(spark: SparkSession, source: str) -> DataFrame:
     t = _t(spark, source)
     return jobs.item_outcomes(t.lineitem, t.part, t.supplier, t.nation)
 
 
 @query
-def q_shipment_rollup(spark, source):
+def q_shipment_rollup(spark: SparkSession, source: str) -> DataFrame:
     return jobs.shipment_rollup(_items(_t(spark, source)))
 
 
 @query
-def q_model_metrics_monthly(spark, source):
+def q_model_metrics_monthly(spark: SparkSession, source: str) -> DataFrame:
     return _metrics(_t(spark, source))
 
 
@@ -534,7 +534,7 @@ DOC_VERSION_MIN_CHARS = (("v1.0", 1000), ("v1.1", 1500), ("v1.2", 2500))
 
 
 @query
-def q_label_metrics(spark, source):
+def q_label_metrics(spark: SparkSession, source: str) -> DataFrame:
     """Confusion metrics of length-threshold quality filters against labelled documents."""
     t = _t(spark, source)
     docs = t.documents.select("doc_id", "n_chars", F.col("lang").alias("facility_id"))
@@ -550,7 +550,7 @@ def q_label_metrics(spark, source):
 
 
 @query
-def q_value_dictionary(spark, source):
+def q_value_dictionary(spark: SparkSession, source: str) -> DataFrame:
     t = _t(spark, source)
     return (
         value_dictionary(t.orders, ["o_orderstatus", "o_orderpriority"], "orders")
@@ -560,7 +560,7 @@ def q_value_dictionary(spark, source):
 
 
 @query
-def q_item_value_dictionary(spark, source):
+def q_item_value_dictionary(spark: SparkSession, source: str) -> DataFrame:
     """Categorical values of the item table (as used for entity matching), with row counts."""
     items = _items(_t(spark, source))
     return value_dictionary(items, ["inspection_type", "result", "defect_type", "severity"], "inspection_events")
@@ -580,13 +580,13 @@ def perturbed_orders(orders: DataFrame) -> DataFrame:
 
 
 @query
-def q_diff_results(spark, source):
+def q_diff_results(spark: SparkSession, source: str) -> DataFrame:
     orders = _t(spark, source).orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     return diff_results(orders, perturbed_orders(orders), ["o_orderkey"])
 
 
 @query
-def q_publish_summary(spark, source):
+def q_publish_summary(spark: SparkSession, source: str) -> DataFrame:
     """Publish T1-T3 as commented tables in a schema; report rows per table."""
     from qualityframe.plans.deploy import deploy
 
