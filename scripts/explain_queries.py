@@ -1,5 +1,6 @@
-"""Print the formatted physical plan of registered queries (after execution, so AQE's
-final plan is shown). Usage: python scripts/explain_queries.py [sf_dir] [query ...]"""
+"""Print the formatted physical plan of registered queries (the plan AQE starts from; it
+may re-plan joins and partition counts at run time from measured sizes).
+Usage: python scripts/explain_queries.py [sf_dir] [query ...]"""
 
 from __future__ import annotations
 
@@ -19,7 +20,6 @@ def main() -> None:
     spark = get_session("local[8]", shuffle_partitions=8)
     for name in names:
         df = QUERIES[name](spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
         print(f"===== {name}")
         df.explain("formatted")
 
