@@ -26,6 +26,37 @@ def classify(rules: Sequence[tuple[Column, object]], default: object = None) ->
     return expr.otherwise(lit_or_col(default))
 
 
+def classify_is(rules: Sequence[tuple[Column, object]], default: object, value: object) -> Column:
+    """Predicate equal (in a WHERE clause) to ``classify(rules, default) = value``, written
+    so that the matching rule's condition is a top-level conjunct.
+
+    Earlier rules must not have fired (``NOT coalesce(cond, false)``, as CASE skips a NULL
+    condition) and the matching rule's own condition must hold. Spark can then push plain
+    comparisons in that condition (e.g. ``l_quantity < 8``) into the parquet scan, which it
+    cannot do for the CASE expression itself. Values must be plain literals.
+    """
+    options = []
+    earlier: list[Column] = []
+    for cond, v in rules:
+        if v is not None and not isinstance(v, Column) and v == value:
+            options.append((earlier[:], cond))
+        earlier.append(cond)
+    if default is not None and not isinstance(default, Column) and default == value:
+        options.append((earlier[:], None))
+    if not options:
+        return F.lit(False)
+    preds = []
+    for before, cond in options:
+        pred = cond if cond is not None else F.lit(True)
+        for b in before:
+            pred = pred & ~F.coalesce(b, F.lit(False))
+        preds.append(pred)
+    out = preds[0]
+    for p in preds[1:]:
+        out = out | p
+    return out
+
+
 BAND_DECIMAL = "decimal(30,12)"
 
 

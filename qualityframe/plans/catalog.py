@@ -28,7 +28,7 @@ from qualityframe.operators.ranking import ranked
 from qualityframe.operators.sampling import hash_sample
 from qualityframe.operators.spine import densify, effective_from, panel, spine_from_bounds, weekdays_only
 from qualityframe.plans import jobs, questions
-from qualityframe.plans.registry import REGISTRY, Via, count_measure, evaluate
+from qualityframe.plans.registry import REGISTRY, Filter, Via, count_measure, evaluate
 from qualityframe.sources.tables import Tables, dimension
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -146,7 +146,11 @@ def q_mean_duration_by_dock(spark: SparkSession, source: str) -> DataFrame:
 @query
 def q_top_critical_items(spark: SparkSession, source: str) -> DataFrame:
     t = _t(spark, source)
-    return questions.top_critical_items(_items(t), _products(t), k=10)
+    return questions.top_critical_items(_items(t), _products(t), k=10, critical=_CRITICAL_RAW)
+
+
+# "critical defects" over lineitem-bound items, in a form whose quantity cut is pushable
+_CRITICAL_RAW = Filter("critical defects", lambda: jobs.severity_is("critical"))
 
 
 def _order_scans(t: Tables) -> DataFrame:
@@ -167,7 +171,7 @@ def q_inbound_rejected_rate(spark: SparkSession, source: str) -> DataFrame:
 
 @query
 def q_critical_trend(spark: SparkSession, source: str) -> DataFrame:
-    return questions.critical_trend(_items(_t(spark, source)))
+    return questions.critical_trend(_items(_t(spark, source)), critical=_CRITICAL_RAW)
 
 
 @query

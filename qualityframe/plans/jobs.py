@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qualityframe.functions import measures as M
-from qualityframe.functions.rules import classify
+from qualityframe.functions.rules import classify, classify_is
 from qualityframe.functions.text import format_id
 from qualityframe.operators.ids import sequence_id
 from qualityframe.plans.registry import DEFECT_GROUPS, Measure, Via, count_measure, evaluate
@@ -83,14 +83,23 @@ def defect_type(result: Column, itype: Column, tax: Column, rules: ItemRules = I
     )
 
 
-def severity(result: Column, qty: Column, rules: ItemRules = ItemRules()) -> Column:
+def _severity_rules(result: Column, qty: Column, rules: ItemRules) -> list:
     q1, q2 = rules.severity_qty
+    return [(result == "pass", None), (qty < q1, "critical"), (qty < q2, "major")]
+
+
+def severity(result: Column, qty: Column, rules: ItemRules = ItemRules()) -> Column:
     return classify(
-        [(result == "pass", F.lit(None).cast("string")), (qty < q1, "critical"), (qty < q2, "major")],
-        "minor",
+        [(c, F.lit(None).cast("string") if v is None else v) for c, v in _severity_rules(result, qty, rules)], "minor"
     )
 
 
+def severity_is(value: str, rules: ItemRules = ItemRules()) -> Column:
+    """``severity = value`` over item facts, with the quantity cut as a pushable conjunct
+    (on a lineitem scan: ``l_quantity < 8`` reaches parquet as a PushedFilter)."""
+    return classify_is(_severity_rules(F.col("result"), F.col("l_quantity"), rules), "minor", value)
+
+
 def item_facts(lineitem: DataFrame, rules: ItemRules = ItemRules(), extra: Sequence[str] = ()) -> DataFrame:
     """Item-level classification, one row per lineitem row, keys kept for later joins."""
     result = outcome(F.col("l_returnflag"))

@@ -154,11 +154,14 @@ def mean_duration_by_dock(items: DataFrame, facilities: DataFrame) -> DataFrame:
     return out.orderBy(F.desc("avg_scan_seconds"), F.asc("facility_id"), F.asc("dock_id"))
 
 
-def top_critical_items(items: DataFrame, products: DataFrame, k: int = 10) -> DataFrame:
-    """Q8: the k SKUs with the most critical defects (ties broken by SKU)."""
+def top_critical_items(items: DataFrame, products: DataFrame, k: int = 10, critical: Filter | None = None) -> DataFrame:
+    """Q8: the k SKUs with the most critical defects (ties broken by SKU).
+
+    ``critical`` may replace the registry filter with an equivalent raw-column form
+    (``jobs.severity_is``) so that part of it reaches the parquet scan."""
     out = evaluate(
         items, [count_measure("critical_defects")], by=["item_sku", "product_name"],
-        where=[R.filters["critical defects"]], via=_product_via(products),
+        where=[critical or R.filters["critical defects"]], via=_product_via(products),
     )
     return top_k(out, [F.desc("critical_defects"), F.asc("item_sku")], k)
 
@@ -177,12 +180,14 @@ def inbound_rejected_rate(scans: DataFrame) -> DataFrame:
     )
 
 
-def critical_trend(items: DataFrame, grain: str = "month") -> DataFrame:
-    """Q14: critical defects per period."""
+def critical_trend(items: DataFrame, grain: str = "month", critical: Filter | None = None) -> DataFrame:
+    """Q14: critical defects per period (``critical`` as in ``top_critical_items``)."""
     dim = R.dimensions["inspection_month"]
     if grain != "month":
         dim = Dimension(f"inspection_{grain}", lambda: M.bucket("inspection_timestamp", grain))
-    out = evaluate(items, [count_measure("critical_defects")], by=[dim], where=[R.filters["critical defects"]])
+    out = evaluate(
+        items, [count_measure("critical_defects")], by=[dim], where=[critical or R.filters["critical defects"]]
+    )
     return out.orderBy(dim.name)
 
 

@@ -388,3 +388,17 @@ def test_round_half_up_matches_decimal_reading(spark):
 
     bad = [(x, r1, r3) for x, r1, r3 in got if r1 != expect(x, 1) or r3 != expect(x, 3)]
     assert not bad, bad[:5]
+
+
+def test_classify_is_equals_classify_filter(spark):
+    from qualityframe.functions.rules import classify_is
+
+    rows = [(f, q) for f in ("R", "A", "N", None) for q in (1.0, 7.9, 8.0, 25.9, 26.0, 40.0, None)]
+    df = spark.createDataFrame(rows, "flag string, q double")
+    result = classify([(F.col("flag") == "R", "fail"), (F.col("flag") == "N", "pass")], "warning")
+    rules = [(result == "pass", None), (F.col("q") < 8.0, "critical"), (F.col("q") < 26.0, "major")]
+    sev = classify([(c, F.lit(None).cast("string") if v is None else v) for c, v in rules], "minor")
+    for value in ("critical", "major", "minor", "absent"):
+        a = sorted(map(tuple, df.filter(sev == value).collect()), key=str)
+        b = sorted(map(tuple, df.filter(classify_is(rules, "minor", value)).collect()), key=str)
+        assert a == b, value

@@ -80,3 +80,8 @@ def test_carrier_join_reuses_rollup_partitioning(spark):
     df = QUERIES["q_inbound_scan_time"](spark, SF001)
     p = plan(df)
     assert p.count("hashpartitioning(shipment_id") == 1
+
+
+def test_critical_filter_reaches_parquet(spark):
+    p = plan(QUERIES["q_critical_trend"](spark, SF001))
+    assert "LessThan(l_quantity,8.0)" in p
