@@ -177,7 +177,9 @@ def q_critical_trend(spark: SparkSession, source: str) -> DataFrame:
 @query
 def q_mismatch_items(spark: SparkSession, source: str) -> DataFrame:
     t = _t(spark, source)
-    return questions.mismatch_items(_items(t), _products(t))
+    return questions.mismatch_items(
+        _items(t), _products(t), Filter("label mismatches", lambda: jobs.defect_type_is("sku_mismatch"))
+    )
 
 
 @query

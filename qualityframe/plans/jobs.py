@@ -65,24 +65,35 @@ def outcome(flag: Column) -> Column:
     return classify([(flag == k, v) for k, v in RESULT_BY_FLAG.items()], None)
 
 
-def defect_type(result: Column, itype: Column, tax: Column, rules: ItemRules = ItemRules()) -> Column:
+def _defect_rules(result: Column, itype: Column, tax: Column, rules: ItemRules) -> list:
     t1, t2 = rules.label_tax
     d1, d2, d3 = rules.damage_tax
+    return [
+        (result == "pass", None),
+        (itype == "item_count", "count_discrepancy"),
+        ((itype == "label_scan") & (tax < t1), "torn_label"),
+        ((itype == "label_scan") & (tax < t2), "sku_mismatch"),
+        (itype == "label_scan", "missing_label"),
+        ((itype == "damage_check") & (tax < d1), "damaged_box"),
+        ((itype == "damage_check") & (tax < d2), "crushed_corner"),
+        ((itype == "damage_check") & (tax < d3), "water_damage"),
+    ]
+
+
+def defect_type(result: Column, itype: Column, tax: Column, rules: ItemRules = ItemRules()) -> Column:
     return classify(
-        [
-            (result == "pass", F.lit(None).cast("string")),
-            (itype == "item_count", "count_discrepancy"),
-            ((itype == "label_scan") & (tax < t1), "torn_label"),
-            ((itype == "label_scan") & (tax < t2), "sku_mismatch"),
-            (itype == "label_scan", "missing_label"),
-            ((itype == "damage_check") & (tax < d1), "damaged_box"),
-            ((itype == "damage_check") & (tax < d2), "crushed_corner"),
-            ((itype == "damage_check") & (tax < d3), "water_damage"),
-        ],
+        [(c, F.lit(None).cast("string") if v is None else v) for c, v in _defect_rules(result, itype, tax, rules)],
         "dented_container",
     )
 
 
+def defect_type_is(value: str, rules: ItemRules = ItemRules()) -> Column:
+    """``defect_type = value`` over item facts with the tax cut as a pushable conjunct."""
+    return classify_is(
+        _defect_rules(F.col("result"), F.col("inspection_type"), F.col("l_tax"), rules), "dented_container", value
+    )
+
+
 def _severity_rules(result: Column, qty: Column, rules: ItemRules) -> list:
     q1, q2 = rules.severity_qty
     return [(result == "pass", None), (qty < q1, "critical"), (qty < q2, "major")]

@@ -191,9 +191,9 @@ def critical_trend(items: DataFrame, grain: str = "month", critical: Filter | No
     return out.orderBy(dim.name)
 
 
-def mismatch_items(items: DataFrame, products: DataFrame) -> DataFrame:
-    """Q15: SKUs by number of label mismatches."""
-    mismatch = Filter("label mismatches", lambda: F.col("defect_type") == "sku_mismatch")
+def mismatch_items(items: DataFrame, products: DataFrame, mismatch: Filter | None = None) -> DataFrame:
+    """Q15: SKUs by number of label mismatches (``mismatch`` may give a raw-column form)."""
+    mismatch = mismatch or Filter("label mismatches", lambda: F.col("defect_type") == "sku_mismatch")
     out = evaluate(
         items, [count_measure("mismatches")], by=["item_sku", "product_name"], where=[mismatch],
         via=_product_via(products),
