@@ -160,13 +160,16 @@ def _order_scans(t: Tables) -> DataFrame:
          (F.col("o_orderstatus") == "P", "rejected")],
         None,
     )
-    direction = F.when(F.col("o_orderpriority").isin(list(jobs.INBOUND_PRIORITIES)), "inbound").otherwise("outbound")
-    return t.orders.select("o_orderkey", direction.alias("direction"), status.alias("status"))
+    return t.orders.select("o_orderkey", "o_orderpriority", jobs.direction().alias("direction"), status.alias("status"))
+
+
+# "inbound shipments" as a predicate on the order priority (pushed into the orders scan)
+_INBOUND_RAW = Filter("inbound shipments", lambda: jobs.direction_is("inbound"))
 
 
 @query
 def q_inbound_rejected_rate(spark: SparkSession, source: str) -> DataFrame:
-    return questions.inbound_rejected_rate(_order_scans(_t(spark, source)))
+    return questions.inbound_rejected_rate(_order_scans(_t(spark, source)), inbound=_INBOUND_RAW)
 
 
 @query
@@ -206,7 +209,7 @@ def q_inbound_scan_time(spark: SparkSession, source: str) -> DataFrame:
         _scans(t),
         [REGISTRY.measures["avg_scan_time"], count_measure("total_scans")],
         by=["carrier_name"],
-        where=[REGISTRY.filters["inbound shipments"]],
+        where=[_INBOUND_RAW],
         via=Via(["o_custkey"], jobs.carrier_dim(t.customer), ["c_custkey"]),
     )
 

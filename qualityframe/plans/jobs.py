@@ -260,15 +260,24 @@ def shipment_rollup(items: DataFrame, reject_above: float = 0.85, flag_above: fl
     )
 
 
+def _direction_rules() -> list:
+    return [(F.col("o_orderpriority").isin(list(INBOUND_PRIORITIES)), "inbound")]
+
+
+def direction() -> Column:
+    """inbound for the urgent priorities, else outbound."""
+    return classify(_direction_rules(), "outbound")
+
+
+def direction_is(value: str) -> Column:
+    """``direction = value`` as a predicate on ``o_orderpriority`` (an IN list the parquet
+    scan of orders accepts as a pushed filter)."""
+    return classify_is(_direction_rules(), "outbound", value)
+
+
 def shipment_scans(rollup: DataFrame, orders: DataFrame) -> DataFrame:
     """T2 with the order's direction and customer key (carrier attached via the customer)."""
-    o = orders.select(
-        F.col("o_orderkey"),
-        F.col("o_custkey"),
-        F.when(F.col("o_orderpriority").isin(list(INBOUND_PRIORITIES)), F.lit("inbound"))
-        .otherwise(F.lit("outbound"))
-        .alias("direction"),
-    )
+    o = orders.select("o_orderkey", "o_custkey", "o_orderpriority", direction().alias("direction"))
     return rollup.join(o, rollup["shipment_id"] == o["o_orderkey"], "inner").drop("o_orderkey")
 
 

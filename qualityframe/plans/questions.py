@@ -166,8 +166,9 @@ def top_critical_items(items: DataFrame, products: DataFrame, k: int = 10, criti
     return top_k(out, [F.desc("critical_defects"), F.asc("item_sku")], k)
 
 
-def inbound_rejected_rate(scans: DataFrame) -> DataFrame:
-    """Q13: share of inbound shipments that were rejected (global, 1 dp)."""
+def inbound_rejected_rate(scans: DataFrame, inbound: Filter | None = None) -> DataFrame:
+    """Q13: share of inbound shipments that were rejected (global, 1 dp); ``inbound`` may
+    give a raw-column form of the registry filter."""
     rejected = lambda: F.col("status") == "rejected"
     return evaluate(
         scans,
@@ -176,7 +177,7 @@ def inbound_rejected_rate(scans: DataFrame) -> DataFrame:
             count_measure("rejected_shipments", rejected),
             rate_measure("rejected_pct", rejected, 1),
         ],
-        where=[R.filters["inbound shipments"]],
+        where=[inbound or R.filters["inbound shipments"]],
     )
 
 
