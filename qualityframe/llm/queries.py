@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, quality
+from . import bpe, chat, mixing, quality, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_mixture": mixing.op1_hierarchical_mixture,
+    "op4_rank_queue_bpe": bpe.op4_rank_queue_bpe,
     "op6_host_rules": quality.op6_host_rules,
     "op8_chat_events": chat.op8_chat_events,
+    "op9_repair_token_files": token_files.op9_repair_token_files,
 }
 
 
