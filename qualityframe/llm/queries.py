@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing, quality, token_files
+from . import bpe, chat, html, language, mixing, quality, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_mixture": mixing.op1_hierarchical_mixture,
+    "op3_style_tree_text": html.op3_style_tree_text,
     "op4_rank_queue_bpe": bpe.op4_rank_queue_bpe,
     "op6_host_rules": quality.op6_host_rules,
     "op8_chat_events": chat.op8_chat_events,
     "op9_repair_token_files": token_files.op9_repair_token_files,
+    "op10_ftrl_language": language.op10_ftrl_language,
 }
 
 
