@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embeddings, html, language, mixing, quality, token_files
+from . import bpe, chat, embeddings, html, language, mixing, quality, shingles, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_mixture": mixing.op1_hierarchical_mixture,
     "op2_itq_near_duplicates": embeddings.op2_itq_near_duplicates,
     "op3_style_tree_text": html.op3_style_tree_text,
     "op4_rank_queue_bpe": bpe.op4_rank_queue_bpe,
+    "op5_combination_join": shingles.op5_combination_join,
     "op6_host_rules": quality.op6_host_rules,
     "op8_chat_events": chat.op8_chat_events,
     "op9_repair_token_files": token_files.op9_repair_token_files,
