@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embeddings, html, language, mixing, quality, shingles, token_files
+from . import bpe, chat, embeddings, html, language, mixing, quality, shingles, suffixes, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_mixture": mixing.op1_hierarchical_mixture,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_rank_queue_bpe": bpe.op4_rank_queue_bpe,
     "op5_combination_join": shingles.op5_combination_join,
     "op6_host_rules": quality.op6_host_rules,
+    "op7_prefix_doubling": suffixes.op7_prefix_doubling,
     "op8_chat_events": chat.op8_chat_events,
     "op9_repair_token_files": token_files.op9_repair_token_files,
     "op10_ftrl_language": language.op10_ftrl_language,
