@@ -107,18 +107,15 @@ def host_verdicts(base: DataFrame, host: str = "source", reject_rate: float = HO
 
 
 def quality_rules(
-    df: DataFrame, text: str = "text", host: str = "source", reject_rate: float = HOST_REJECT_RATE, keep_text: bool = True
+    df: DataFrame, text: str = "text", host: str = "source", reject_rate: float = HOST_REJECT_RATE
 ) -> DataFrame:
-    """Base columns, ``host_rejected`` and ``kept`` for every row of ``df``.
+    """Base columns, ``host_rejected`` and ``kept`` for every row of ``df``, without its text.
 
     ``kept`` is false for a base failure and for every document of a rejected host. Rows,
-    repeated rows and other columns stay; a null host is a host of its own. With
-    ``keep_text=False`` the text column goes and the base columns are checkpointed, so
-    that texts are read once; otherwise they are read once for the hosts, once for the rows.
+    repeated rows and other columns stay; a null host is a host of its own. The base columns
+    are checkpointed: texts are read once, and later filters cannot be pushed into the rules.
     """
-    base = with_base_rules(df, text)
-    if not keep_text:
-        base = checkpointed(base.drop(text))
+    base = checkpointed(with_base_rules(df, text).drop(text))
     verdict = host_verdicts(base, host, reject_rate)
     bad = small_side(checkpointed(verdict.filter("host_rejected").select(F.col("host").alias("__host"), F.lit(True).alias("__bad"))))
     out = base.drop("host_rejected", "kept").join(bad, F.col(host).eqNullSafe(F.col("__host")), "left")
@@ -153,4 +150,4 @@ FROM judged j JOIN verdict v ON j.source IS NOT DISTINCT FROM v.source"""
 
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return quality_rules(docs, keep_text=False).select("doc_id", *BASE, "kept")
+    return quality_rules(docs).select("doc_id", *BASE, "kept")
