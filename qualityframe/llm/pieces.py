@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Pieces kept per Python worker (about 200 bytes each); the cache starts anew beyond it.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 250_000
 #: Longer pieces are encoded, but not kept.
 CACHE_LENGTH = 48
 #: Characters of text that are encoded together.
-GROUP_CHARS = 12_000_000
+GROUP_CHARS = 4_000_000
 
 _ODD = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
