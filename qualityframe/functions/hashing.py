@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from qualityframe.functions.columns import ColumnLike, to_col
 
-DEFAULT_GRID = 10000
+#: Steps of a fraction when the caller names none: all values that the method can give.
+FULL_GRID = {"murmur3": 1 << 31, "md5": 1 << 32}
 METHODS = ("murmur3", "md5")
 
 
@@ -39,7 +40,7 @@ def hash_int(seed: int | str, salt: str, *cols: ColumnLike, modulo: int, method:
         raise ValueError("modulo must be positive")
     keys = _key_cols(seed, salt, cols)
     if method == "murmur3":
-        return F.pmod(F.hash(*keys), F.lit(modulo)).cast("long")
+        return F.pmod(F.hash(*keys).cast("long"), F.lit(modulo).cast("long"))
     if method == "md5":
         text = F.concat_ws("|", *[k.cast("string") for k in keys])
         head = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
@@ -56,7 +57,8 @@ def hash_bucket(
 
 
 def hash_fraction(
-    seed: int | str, salt: str, *cols: ColumnLike, grid: int = DEFAULT_GRID, method: str = "murmur3"
+    seed: int | str, salt: str, *cols: ColumnLike, grid: int | None = None, method: str = "murmur3"
 ) -> Column:
     """DOUBLE on the grid 0, 1/grid, ..., (grid-1)/grid derived from the keys."""
+    grid = grid or FULL_GRID.get(method, 1)
     return hash_int(seed, salt, *cols, modulo=grid, method=method).cast("double") / F.lit(float(grid))

@@ -57,79 +57,16 @@ def classify_is(rules: Sequence[tuple[Column, object]], default: object, value:
     return out
 
 
-BAND_DECIMAL = "decimal(30,12)"
-
-
-def banded_outcome(
-    score: ColumnLike,
-    threshold: ColumnLike,
-    warn_width: float = 0.05,
-    labels: tuple[str, str, str] = ("fail", "warning", "pass"),
-) -> Column:
-    """Half-open bands: fail iff score < t; warning iff t <= score < t + width; else pass.
-
-    Band bounds are computed in DECIMAL, i.e. on the decimal reading of the rates (0.10 +
-    0.05 is exactly 0.15, where binary doubles give 0.15000000000000002), then compared
-    with the score as DOUBLE.
-    """
-    s = to_col(score).cast("double")
-    t = lit_or_col(threshold).cast(BAND_DECIMAL)
-    upper = t + F.lit(float(warn_width)).cast(BAND_DECIMAL)
-    fail, warn, ok = labels
-    return (
-        F.when(s < t.cast("double"), F.lit(fail))
-        .when(s < upper.cast("double"), F.lit(warn))
-        .otherwise(F.lit(ok))
-    )
-
-
-def scaled_rate(base_rate: ColumnLike, factor: ColumnLike) -> Column:
-    """Rate times a multiplicative factor (e.g. a seasonal factor), in DOUBLE."""
-    return lit_or_col(base_rate).cast("double") * lit_or_col(factor).cast("double")
-
-
 def map_groups(col: ColumnLike, groups: Mapping[str, Sequence[object]], default: object = "None") -> Column:
     """Value-set CASE: the first group whose value list contains ``col``; NULL -> default."""
     c = to_col(col)
     return classify([(c.isin(list(values)), name) for name, values in groups.items()], default)
 
 
-def banded_linear(
-    x: ColumnLike,
-    cases: Sequence[tuple[Column, float, float]],
-    default: tuple[float, float],
-) -> Column:
-    """Per-class linear score ``base + width * x``; first matching class wins."""
-    xc = to_col(x).cast("double")
-    rules = [(cond, F.lit(float(base)) + F.lit(float(width)) * xc) for cond, base, width in cases]
-    base, width = default
-    return classify(rules, F.lit(float(base)) + F.lit(float(width)) * xc)
-
+def version_key(version: ColumnLike) -> Column:
+    """All numbers of a label like ``v2.1.10`` as an array of longs, which sorts part by part.
 
-def effects_score(
-    base: float,
-    x: ColumnLike,
-    width: float,
-    lo: float,
-    hi: float,
-    *effects: Column,
-) -> Column:
-    """Additive model ``base + sum(effects) + width * x`` clamped to [lo, hi].
-
-    Effects are evaluated left to right in DOUBLE, so the result is reproducible in any
-    engine that adds in the same order.
+    NULL and labels without a number give NULL; ``v2.1`` sorts before ``v2.1.0``.
     """
-    total = F.lit(float(base))
-    for e in effects:
-        total = total + e.cast("double")
-    total = total + F.lit(float(width)) * to_col(x).cast("double")
-    return clamp(total, lo, hi)
-
-
-def version_parts(version: ColumnLike) -> tuple[Column, Column]:
-    """Numeric (major, minor) of labels like ``v2.10`` (NULL when absent)."""
-    v = to_col(version)
-    major = F.regexp_extract(v, r"^[vV]?(\d+)", 1)
-    minor = F.regexp_extract(v, r"^[vV]?\d+\.(\d+)", 1)
-    to_long = lambda s: F.when(s == "", F.lit(None).cast("long")).otherwise(s.cast("long"))
-    return to_long(major), to_long(minor)
+    parts = F.regexp_extract_all(to_col(version), F.lit(r"(\d+)"), F.lit(1))
+    return F.when(F.size(parts) > 0, parts.cast("array<bigint>"))

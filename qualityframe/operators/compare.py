@@ -38,7 +38,12 @@ def diff_results(
             F.count(F.lit(1)).alias(f"_{side}_n"), *[F.min(c).alias(f"_{side}_{c}") for c in cols]
         )
 
-    joined = collapse(left, "l").join(collapse(right, "r"), keys, "full_outer")
+    # NULL keys are equal: the keys of the sides are compared null-safe (still a hash join) and merged
+    lhs, rhs = collapse(left, "l"), collapse(right, "r").withColumnsRenamed({k: f"_r_key_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_r_key_{k}")) for k in keys]
+    joined = lhs.join(rhs, same, "full_outer").withColumns(
+        {k: F.when(F.col("_l_n").isNull(), F.col(f"_r_key_{k}")).otherwise(F.col(k)) for k in keys}
+    )
     ln, rn = F.col("_l_n"), F.col("_r_n")
     differs = {c: ~F.col(f"_l_{c}").eqNullSafe(F.col(f"_r_{c}")) for c in cols}
     any_diff = F.lit(False)
@@ -58,11 +63,16 @@ def diff_results(
 
 
 def diff_multiset(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Unkeyed difference with multiplicity: rows of ``left`` not matched in ``right`` and
-    vice versa (EXCEPT ALL both ways), tagged with ``side``."""
-    only_left = left.exceptAll(right).withColumn("side", F.lit("only_left"))
-    only_right = right.exceptAll(left).withColumn("side", F.lit("only_right"))
-    return only_left.unionByName(only_right)
+    """Unkeyed difference with multiplicity: every row whose numbers differ, with ``left_n`` and ``right_n``.
+
+    One union and one partial (map-side) aggregate, so a row repeated a billion times is one
+    row per task before the shuffle and one row of the result.
+    """
+    cols = left.columns
+    both = left.withColumns({"left_n": F.lit(1), "right_n": F.lit(0)}).unionByName(
+        right.select(*cols).withColumns({"left_n": F.lit(0), "right_n": F.lit(1)})
+    )
+    return both.groupBy(*cols).agg(F.sum("left_n").alias("left_n"), F.sum("right_n").alias("right_n")).filter("left_n <> right_n")
 
 
 def value_dictionary(df: DataFrame, columns: Sequence[str], table_name: str | None = None) -> DataFrame:
@@ -101,9 +111,10 @@ def check_answer(actual: DataFrame, expected: DataFrame, keys: Sequence[str] | N
             diffs = diff_results(actual.select(*cols), expected.select(*cols), keys)
             kinds = diffs.groupBy("diff").count()
         else:
-            kinds = diff_multiset(actual.select(*cols), expected.select(*cols)).groupBy(
-                F.col("side").alias("diff")
-            ).count()
+            surplus = diff_multiset(actual.select(*cols), expected.select(*cols))
+            kinds = surplus.groupBy(F.when(F.col("left_n") > F.col("right_n"), "only_left").otherwise("only_right").alias("diff")).agg(
+                F.sum(F.abs(F.col("left_n") - F.col("right_n"))).alias("count")
+            )
         counts.update({r["diff"]: r["count"] for r in kinds.collect()})
     result.update(counts)
     result["passed"] = result["schema_match"] and not any(counts.values())

@@ -13,12 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 
 from qualityframe.functions.columns import ColumnLike, lit_or_col
-from qualityframe.functions.hashing import DEFAULT_GRID, hash_fraction
+from qualityframe.functions.hashing import FULL_GRID, hash_fraction
 
 
 def sample_fraction(
     keys: Sequence[ColumnLike], seed: int | str = 42, salt: str = "sample", method: str = "murmur3",
-    grid: int = DEFAULT_GRID,
+    grid: int | None = None,
 ) -> Column:
     return hash_fraction(seed, salt, *keys, grid=grid, method=method)
 
@@ -30,7 +30,7 @@ def hash_sample(
     seed: int | str = 42,
     salt: str = "sample",
     method: str = "murmur3",
-    grid: int = DEFAULT_GRID,
+    grid: int | None = None,
 ) -> DataFrame:
     """Keep rows whose key fraction is below ``rate``.
 
@@ -40,6 +40,10 @@ def hash_sample(
     """
     if isinstance(rate, (int, float)) and not 0.0 <= float(rate) <= 1.0:
         raise ValueError("rate must lie in [0, 1]")
+    if isinstance(rate, (int, float)):
+        steps = float(rate) * (grid or FULL_GRID[method])
+        if 0 < steps < 1 or (grid and abs(steps - round(steps)) > 1e-6):
+            raise ValueError(f"rate {rate} cannot be held on a grid of {grid or FULL_GRID[method]} steps")
     if not keys:
         raise ValueError("hash_sample needs at least one key column")
     frac = sample_fraction(keys, seed=seed, salt=salt, method=method, grid=grid)

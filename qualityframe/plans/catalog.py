@@ -14,15 +14,11 @@ from pyspark.sql import functions as F
 from qualityframe.functions import measures as M
 from qualityframe.functions.hashing import hash_fraction, hash_int
 from qualityframe.functions.rules import (
-    banded_linear,
-    banded_outcome,
     classify,
-    effects_score,
-    scaled_rate,
-    version_parts,
+    version_key,
 )
 from qualityframe.functions.text import assemble_timestamp, format_id, slugify
-from qualityframe.operators.compare import diff_results, value_dictionary
+from qualityframe.operators.compare import diff_multiset, diff_results, value_dictionary
 from qualityframe.operators.ids import assign_by_index, sequence_id
 from qualityframe.operators.ranking import ranked
 from qualityframe.operators.sampling import hash_sample
@@ -36,12 +32,11 @@ QUERIES: dict[str, QueryFn] = {}
 
 SEED = 42
 
-# Carriers of the indexed lookup (inline dimension, indexed by name order).
-CARRIERS = ("FedEx Freight", "UPS Supply Chain", "XPO Logistics", "Old Dominion", "SAIA", "Estes Express")
+#: The five market segments of the customer table, as the inline dimension of the indexed lookup.
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
-# Version start offsets in months from the first month of data
-# (first version from the start, then May and September of the first year).
-VERSION_START_OFFSETS = (("v1.0", 0), ("v1.1", 4), ("v1.2", 8))
+#: Schedule of the effective-dating query: a version starts every other year of the data (months from its first one).
+VERSION_START_OFFSETS = (("v1.0", 0), ("v1.1", 24), ("v1.2", 48))
 
 
 def query(fn: QueryFn) -> QueryFn:
@@ -145,6 +140,13 @@ def q_mean_duration_by_dock(spark: SparkSession, source: str) -> DataFrame:
 
 @query
 def q_top_critical_items(spark: SparkSession, source: str) -> DataFrame:
+    t = _t(spark, source)
+    return questions.top_critical_items(_items(t), _products(t), critical=_CRITICAL_RAW)
+
+
+@query
+def q_top_k_items(spark: SparkSession, source: str) -> DataFrame:
+    """The ten items with the most critical defects (k is the feature)."""
     t = _t(spark, source)
     return questions.top_critical_items(_items(t), _products(t), k=10, critical=_CRITICAL_RAW)
 
@@ -224,60 +226,19 @@ def q_defect_category(spark: SparkSession, source: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-# Rate rules over (product category, inspection type, month of year),
-# first match wins; None matches anything. Categories are the test data's part types.
-SELECTION_RATE_RULES = (
-    ("PROMO", "damage_check", None, 0.0040),
-    ("STANDARD", "label_scan", None, 0.0035),
-    ("STANDARD", None, (11, 12), 0.0045),
-    ("PROMO", None, None, 0.0030),
-    ("SMALL", None, None, 0.0025),
-    ("LARGE", None, (3, 4, 9, 10), 0.0035),
-    ("MEDIUM", None, (4, 5, 6), 0.0030),
-)
-SELECTION_RATE_DEFAULT = 0.0020
-
-# Base failure rates, same rule form.
-FAIL_RATE_RULES = (
-    ("PROMO", "damage_check", None, 0.18),
-    ("STANDARD", "label_scan", None, 0.14),
-    ("LARGE", "damage_check", None, 0.10),
-    ("SMALL", "damage_check", None, 0.08),
-    (None, "item_count", None, 0.06),
-    (None, "label_scan", None, 0.09),
-    (None, "damage_check", None, 0.11),
-)
-FAIL_RATE_DEFAULT = 0.07
-
-# Seasonal factors by month of year (first match), else 1.0.
-SEASONAL_FACTORS = (((11, 12), 1.3), ((6, 7), 0.85))
-
-
-def _rate_rules(table, default, cat, itype, month):
-    """``classify`` rules from a (category, type, months, value) table."""
-    rules = []
-    for c, t, months, value in table:
-        cond = F.lit(True)
-        if c is not None:
-            cond = cond & (cat == c)
-        if t is not None:
-            cond = cond & (itype == t)
-        if months is not None:
-            cond = cond & month.isin(*months)
-        rules.append((cond, value))
-    return classify(rules, default)
+#: Handling classes of an inspected item, first match wins.
+URGENT_QUANTITY, RECHECK_DISCOUNT = 40.0, 0.08
 
 
-def _selection_rate(cat, itype, month):
-    return _rate_rules(SELECTION_RATE_RULES, SELECTION_RATE_DEFAULT, cat, itype, month)
-
-
-def _base_fail_rate(cat, itype, month):
-    return _rate_rules(FAIL_RATE_RULES, FAIL_RATE_DEFAULT, cat, itype, month)
-
-
-def _seasonal_factor(month):
-    return classify([(month.isin(*months), factor) for months, factor in SEASONAL_FACTORS], 1.0)
+def _handling(result, quantity, discount):
+    return classify(
+        [
+            ((result == "fail") & (quantity >= URGENT_QUANTITY), "urgent"),
+            ((result == "fail") | ((result == "warning") & (discount >= RECHECK_DISCOUNT)), "recheck"),
+            (result == "warning", "watch"),
+        ],
+        "none",
+    )
 
 
 def _items_with_category(t: Tables) -> DataFrame:
@@ -286,62 +247,10 @@ def _items_with_category(t: Tables) -> DataFrame:
 
 @query
 def q_rule_classify(spark: SparkSession, source: str) -> DataFrame:
-    """First-match rate rules on (category, type, month); items per assigned rate."""
-    items = _items_with_category(_t(spark, source))
-    month = F.month("inspection_timestamp")
-    rate = _selection_rate(F.col("product_category"), F.col("inspection_type"), month)
-    return items.groupBy("product_category", "inspection_type", rate.alias("selection_rate")).agg(
-        F.count(F.lit(1)).alias("items")
-    )
-
-
-@query
-def q_banded_outcome(spark: SparkSession, source: str) -> DataFrame:
-    """Outcome bands from a per-row rate times a seasonal factor against a hash score."""
-    items = _items_with_category(_t(spark, source))
-    month = F.month("inspection_timestamp")
-    base = _base_fail_rate(F.col("product_category"), F.col("inspection_type"), month)
-    rate = scaled_rate(base, _seasonal_factor(month))
-    score = hash_fraction(SEED, "outcome", "shipment_id", "l_linenumber", method="md5")
-    outcome = banded_outcome(score, rate, 0.05)
-    return items.groupBy("product_category", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("items"))
-
-
-# Confidence bands (base, width) per outcome, score = base + width * noise.
-CONFIDENCE_BANDS = {"pass": (0.85, 0.15), "warning": (0.55, 0.25), "fail": (0.30, 0.35)}
-
-# Precision score = base + rank * step + bias + width * noise, clamped to [lo, hi];
-# bias by part type (first match), else 0.
-PRECISION_SCORE = (85.0, 3.5, 8.0, 70.0, 99.5)
-PRECISION_BIAS = ((("PROMO",), -3.0), (("STANDARD", "SMALL"), 2.0))
-
-
-@query
-def q_banded_linear(spark: SparkSession, source: str) -> DataFrame:
-    """Per-outcome linear confidence band on a hash score, rounded to 2 dp, summarised."""
+    """First-match handling class on (result, quantity, discount); items per class."""
     items = _items(_t(spark, source))
-    noise = hash_fraction(SEED, "confidence", "shipment_id", "l_linenumber", method="md5")
-    cases = [(F.col("result") == r, base, width) for r, (base, width) in CONFIDENCE_BANDS.items() if r != "fail"]
-    score = banded_linear(noise, cases, CONFIDENCE_BANDS["fail"])
-    scored = items.select("inspection_type", "result", M.round_half_up(score, 2).alias("score"))
-    return scored.groupBy("inspection_type", "result").agg(
-        F.count(F.lit(1)).alias("items"),
-        F.min("score").alias("min_score"),
-        F.max("score").alias("max_score"),
-        M.mean("score", 3).alias("avg_score"),
-    )
-
-
-@query
-def q_effects_score(spark: SparkSession, source: str) -> DataFrame:
-    """Clamped additive score per part: base + size-rank step + category bias + noise."""
-    part = _t(spark, source).part
-    base, step, width, lo, hi = PRECISION_SCORE
-    rank = F.pmod(F.col("p_size"), F.lit(3))
-    bias = classify([(F.col("p_type").isin(*types), b) for types, b in PRECISION_BIAS], 0.0)
-    noise = hash_fraction(SEED, "precision", "p_partkey", method="md5")
-    score = effects_score(base, noise, width, lo, hi, rank * F.lit(step), bias)
-    return part.select("p_partkey", rank.alias("version_rank"), M.round_half_up(score, 1).alias("precision_pct"))
+    handling = _handling(F.col("result"), F.col("l_quantity"), F.col("l_discount"))
+    return items.groupBy("inspection_type", handling.alias("handling")).agg(F.count(F.lit(1)).alias("items"))
 
 
 @query
@@ -438,16 +347,14 @@ def q_effective_versions(spark: SparkSession, source: str) -> DataFrame:
 
 @query
 def q_version_rank(spark: SparkSession, source: str) -> DataFrame:
-    """Version labels ranked by numeric (major, minor): v2.2 before v2.10."""
+    """Version labels ranked by all their numeric parts: v2.2 before v2.10, v2.1.9 before v2.1.10."""
     li = _t(spark, source).lineitem
-    label = F.concat(F.lit("v"), F.col("l_linenumber").cast("string"), F.lit("."),
-                     F.pmod(F.col("l_suppkey"), F.lit(12)).cast("string"))
-    versions = li.select(label.alias("model_version")).distinct()
-    major, minor = version_parts(F.col("model_version"))
-    versions = versions.select("model_version", major.alias("major"), minor.alias("minor"))
-    # labels come from (line number 1..7) x (supplier key mod 12): at most 84 rows
-    return ranked(versions, [F.asc("major"), F.asc("minor")], keys=["major", "minor"], name="version_rank",
-                  method="dense", bounded=True)
+    part = lambda c, n: F.pmod(F.col(c), F.lit(n)).cast("string")
+    label = F.concat(F.lit("v"), F.col("l_linenumber").cast("string"), F.lit("."), part("l_suppkey", 12), F.lit("."), part("l_partkey", 11))
+    versions = li.select(label.alias("model_version")).distinct().withColumn("parts", version_key("model_version"))
+    # labels come from (line number 1..7) x (supplier key mod 12) x (part key mod 11): at most 924 rows
+    out = ranked(versions, [F.asc("parts")], keys=["parts"], name="version_rank", method="dense", bounded=True)
+    return out.select("model_version", F.array_join(F.col("parts").cast("array<string>"), ".").alias("parts"), "version_rank")
 
 
 # ---------------------------------------------------------------------------
@@ -457,10 +364,10 @@ def q_version_rank(spark: SparkSession, source: str) -> DataFrame:
 
 @query
 def q_indexed_lookup(spark: SparkSession, source: str) -> DataFrame:
-    """Orders assigned to an inline carrier list by a hash index; shipments per carrier."""
+    """Orders assigned to an inline list of segments by a hash index; shipments per segment."""
     t = _t(spark, source)
-    carriers = dimension(spark, [(c,) for c in CARRIERS], "carrier_name string")
-    idx = hash_int(SEED, "carrier", "o_orderkey", modulo=len(CARRIERS), method="md5")
+    carriers = dimension(spark, [(c,) for c in SEGMENTS], "carrier_name string")
+    idx = hash_int(SEED, "carrier", "o_orderkey", modulo=len(SEGMENTS), method="md5")
     assigned = assign_by_index(t.orders.select("o_orderkey", idx.alias("carrier_idx")), "carrier_idx", carriers,
                                ["carrier_name"], index_name="carrier_idx_join")
     return assigned.groupBy("carrier_name", "carrier_idx").agg(F.count(F.lit(1)).alias("shipments"))
@@ -475,10 +382,13 @@ def q_sample_constant(spark: SparkSession, source: str) -> DataFrame:
 
 @query
 def q_sample_stratified(spark: SparkSession, source: str) -> DataFrame:
-    items = _items_with_category(_t(spark, source))
+    # the largest rate cuts the items before the join, the stratum's own rate after it
+    keys = ["shipment_id", "l_linenumber", "item_sku"]
+    t = _t(spark, source)
+    likely = hash_sample(_items(t), 0.30, keys, seed=SEED, salt="stratified", method="md5")
+    items = jobs.with_product(likely, t.part)
     rate = classify([(F.col("product_category") == "PROMO", 0.30), (F.col("product_category") == "STANDARD", 0.20)], 0.10)
-    s = hash_sample(items, rate, ["shipment_id", "l_linenumber", "item_sku"], seed=SEED, salt="stratified",
-                    method="md5")
+    s = hash_sample(items, rate, keys, seed=SEED, salt="stratified", method="md5")
     return s.groupBy("product_category").agg(
         F.count(F.lit(1)).alias("sampled_items"), F.sum("processing_time_ms").alias("sampled_quantity")
     )
@@ -491,6 +401,14 @@ def q_sample_cluster(spark: SparkSession, source: str) -> DataFrame:
     return s.groupBy(F.col("l_suppkey").alias("dock_id")).agg(F.count(F.lit(1)).alias("items"))
 
 
+@query
+def q_diff_multiset(spark: SparkSession, source: str) -> DataFrame:
+    """Rows (order status, priority) of early and late orders whose numbers differ, with both numbers."""
+    orders = _t(spark, source).orders
+    side = lambda early: orders.filter((F.pmod("o_orderkey", F.lit(2)) == 0) == early).select("o_orderstatus", "o_orderpriority")
+    return diff_multiset(side(True), side(False))
+
+
 @query
 def q_sample_murmur3(spark: SparkSession, source: str) -> DataFrame:
     orders = _t(spark, source).orders

@@ -47,13 +47,39 @@ LINEITEM_ORDER = (
 )
 
 
+@dataclass(frozen=True)
+class Cuts:
+    """Classes along a measure: class k lies between cut k - 1 (included) and cut k (excluded)."""
+
+    classes: tuple[str, ...]
+    cuts: tuple[float, ...] = ()
+
+    def of(self, measure: Column) -> Column:
+        at = F.lit(0)
+        for c in self.cuts:
+            at = at + (measure >= c).cast("int")
+        return F.get(F.array(*[F.lit(c) for c in self.classes]), at)
+
+    def holds(self, measure: Column, value: str) -> Column:
+        """``of(measure) = value`` as a range on the raw measure, which a scan can use."""
+        if value not in self.classes:
+            return F.lit(False)
+        k, out = self.classes.index(value), F.lit(True)
+        if k:
+            out = out & (measure >= self.cuts[k - 1])
+        return out & (measure < self.cuts[k]) if k < len(self.cuts) else out
+
+
 @dataclass(frozen=True)
 class ItemRules:
-    """Cut points of the item classification (first match wins, all strict '<')."""
+    """Defects that each inspection type can find along the tax rate, and severities along the quantity."""
 
-    severity_qty: tuple[float, float] = (8.0, 26.0)  # critical below the first, major below the second
-    label_tax: tuple[float, float] = (0.03, 0.06)  # torn_label, sku_mismatch, else missing_label
-    damage_tax: tuple[float, float, float] = (0.03, 0.05, 0.07)  # damaged_box, crushed_corner, water_damage, else dented
+    defects: tuple[tuple[str, Cuts], ...] = (
+        ("item_count", Cuts(("count_discrepancy",))),
+        ("label_scan", Cuts(("missing_label", "torn_label", "sku_mismatch"), (0.02, 0.05))),
+        ("damage_check", Cuts(("dented_container", "damaged_box", "crushed_corner", "water_damage"), (0.02, 0.04, 0.06))),
+    )
+    severities: Cuts = Cuts(("critical", "major", "minor"), (10.0, 30.0))
 
 
 def inspection_type(linenumber: Column) -> Column:
@@ -65,50 +91,29 @@ def outcome(flag: Column) -> Column:
     return classify([(flag == k, v) for k, v in RESULT_BY_FLAG.items()], None)
 
 
-def _defect_rules(result: Column, itype: Column, tax: Column, rules: ItemRules) -> list:
-    t1, t2 = rules.label_tax
-    d1, d2, d3 = rules.damage_tax
-    return [
-        (result == "pass", None),
-        (itype == "item_count", "count_discrepancy"),
-        ((itype == "label_scan") & (tax < t1), "torn_label"),
-        ((itype == "label_scan") & (tax < t2), "sku_mismatch"),
-        (itype == "label_scan", "missing_label"),
-        ((itype == "damage_check") & (tax < d1), "damaged_box"),
-        ((itype == "damage_check") & (tax < d2), "crushed_corner"),
-        ((itype == "damage_check") & (tax < d3), "water_damage"),
-    ]
+def _not_passed(result: Column) -> Column:
+    return ~result.eqNullSafe(F.lit("pass"))
 
 
 def defect_type(result: Column, itype: Column, tax: Column, rules: ItemRules = ItemRules()) -> Column:
-    return classify(
-        [(c, F.lit(None).cast("string") if v is None else v) for c, v in _defect_rules(result, itype, tax, rules)],
-        "dented_container",
-    )
+    found = classify([(itype == name, cuts.of(tax)) for name, cuts in rules.defects], None)
+    return F.when(_not_passed(result), found)
 
 
 def defect_type_is(value: str, rules: ItemRules = ItemRules()) -> Column:
     """``defect_type = value`` over item facts with the tax cut as a pushable conjunct."""
-    return classify_is(
-        _defect_rules(F.col("result"), F.col("inspection_type"), F.col("l_tax"), rules), "dented_container", value
-    )
-
-
-def _severity_rules(result: Column, qty: Column, rules: ItemRules) -> list:
-    q1, q2 = rules.severity_qty
-    return [(result == "pass", None), (qty < q1, "critical"), (qty < q2, "major")]
+    name, cuts = next((n, c) for n, c in rules.defects if value in c.classes)
+    return _not_passed(F.col("result")) & (F.col("inspection_type") == name) & cuts.holds(F.col("l_tax"), value)
 
 
 def severity(result: Column, qty: Column, rules: ItemRules = ItemRules()) -> Column:
-    return classify(
-        [(c, F.lit(None).cast("string") if v is None else v) for c, v in _severity_rules(result, qty, rules)], "minor"
-    )
+    return F.when(_not_passed(result), rules.severities.of(qty))
 
 
 def severity_is(value: str, rules: ItemRules = ItemRules()) -> Column:
     """``severity = value`` over item facts, with the quantity cut as a pushable conjunct
-    (on a lineitem scan: ``l_quantity < 8`` reaches parquet as a PushedFilter)."""
-    return classify_is(_severity_rules(F.col("result"), F.col("l_quantity"), rules), "minor", value)
+    (on a lineitem scan: ``l_quantity < 10`` reaches parquet as a PushedFilter)."""
+    return _not_passed(F.col("result")) & rules.severities.holds(F.col("l_quantity"), value)
 
 
 def item_facts(lineitem: DataFrame, rules: ItemRules = ItemRules(), extra: Sequence[str] = ()) -> DataFrame:
@@ -147,7 +152,7 @@ def facility_dim(supplier: DataFrame, nation: DataFrame) -> DataFrame:
     """(s_suppkey, facility_id). Nation is the fixed 25-row TPC-H list: broadcast."""
     nat = F.broadcast(nation.select("n_nationkey", F.col("n_name").alias("facility_id")))
     return supplier.select("s_suppkey", "s_nationkey").join(
-        nat, F.col("s_nationkey") == F.col("n_nationkey"), "inner"
+        nat, F.col("s_nationkey") == F.col("n_nationkey"), "left"
     ).select("s_suppkey", "facility_id")
 
 
@@ -164,8 +169,8 @@ def facility_attach(supplier: DataFrame, nation: DataFrame, key: str = "dock_id"
     def attach(df: DataFrame) -> DataFrame:
         s = supplier.select("s_suppkey", "s_nationkey")
         nat = F.broadcast(nation.select("n_nationkey", F.col("n_name").alias("facility_id")))
-        out = df.join(s, df[key] == s["s_suppkey"], "inner")
-        out = out.join(nat, out["s_nationkey"] == nat["n_nationkey"], "inner")
+        out = df.join(s, df[key] == s["s_suppkey"], "left")
+        out = out.join(nat, out["s_nationkey"] == nat["n_nationkey"], "left")
         return out.drop("s_suppkey", "s_nationkey", "n_nationkey")
 
     return attach
@@ -173,7 +178,7 @@ def facility_attach(supplier: DataFrame, nation: DataFrame, key: str = "dock_id"
 
 def with_product(items: DataFrame, part: DataFrame) -> DataFrame:
     p = product_dim(part)
-    return items.join(p, items["item_sku"] == p["p_partkey"], "inner").drop("p_partkey")
+    return items.join(p, items["item_sku"] == p["p_partkey"], "left").drop("p_partkey")
 
 
 def with_facility(items: DataFrame, supplier: DataFrame, nation: DataFrame) -> DataFrame:

@@ -154,8 +154,8 @@ def mean_duration_by_dock(items: DataFrame, facilities: DataFrame) -> DataFrame:
     return out.orderBy(F.desc("avg_scan_seconds"), F.asc("facility_id"), F.asc("dock_id"))
 
 
-def top_critical_items(items: DataFrame, products: DataFrame, k: int = 10, critical: Filter | None = None) -> DataFrame:
-    """Q8: the k SKUs with the most critical defects (ties broken by SKU).
+def top_critical_items(items: DataFrame, products: DataFrame, k: int | None = None, critical: Filter | None = None) -> DataFrame:
+    """Q8: SKUs by critical defects (ties broken by SKU): all of them, or the first ``k``.
 
     ``critical`` may replace the registry filter with an equivalent raw-column form
     (``jobs.severity_is``) so that part of it reaches the parquet scan."""
@@ -163,7 +163,8 @@ def top_critical_items(items: DataFrame, products: DataFrame, k: int = 10, criti
         items, [count_measure("critical_defects")], by=["item_sku", "product_name"],
         where=[critical or R.filters["critical defects"]], via=_product_via(products),
     )
-    return top_k(out, [F.desc("critical_defects"), F.asc("item_sku")], k)
+    order = [F.desc("critical_defects"), F.asc("item_sku")]
+    return out.orderBy(*order) if k is None else top_k(out, order, k)
 
 
 def inbound_rejected_rate(scans: DataFrame, inbound: Filter | None = None) -> DataFrame:

@@ -26,7 +26,6 @@ _MERGE = {"sum": F.sum, "max": F.max, "min": F.min}
 class Filter:
     name: str
     expr: Callable[[], Column]
-    synonyms: tuple[str, ...] = ()
     description: str = ""
 
 
@@ -34,7 +33,6 @@ class Filter:
 class Dimension:
     name: str
     expr: Callable[[], Column]
-    synonyms: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -45,7 +43,6 @@ class Measure:
     name: str
     parts: Callable[[], dict[str, tuple[Column, str]]]
     final: Callable[[Callable[[str], Column]], Column]
-    synonyms: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -67,7 +64,7 @@ class Via:
             return self.attach(pre)
         dim = F.broadcast(self.dim) if self.broadcast else self.dim
         cond = [pre[fk] == dim[dk] for fk, dk in zip(self.fact_keys, self.dim_keys)]
-        return pre.join(dim, cond, "inner")
+        return pre.join(dim, cond, "left")
 
 
 @dataclass
@@ -80,14 +77,6 @@ class Registry:
         target = {Filter: self.filters, Dimension: self.dimensions, Measure: self.measures}[type(item)]
         target[item.name] = item
 
-    def find(self, phrase: str) -> Filter | Dimension | Measure:
-        """Look an entry up by name or synonym (case-insensitive)."""
-        p = phrase.strip().lower()
-        for group in (self.filters, self.dimensions, self.measures):
-            for item in group.values():
-                if p == item.name.lower() or p in (s.lower() for s in item.synonyms):
-                    return item
-        raise KeyError(phrase)
 
 
 def evaluate(
@@ -140,26 +129,26 @@ DEFECT_GROUPS = {
 }
 
 
-def count_measure(name: str, predicate: Callable[[], Column] | None = None, synonyms: tuple[str, ...] = ()) -> Measure:
+def count_measure(name: str, predicate: Callable[[], Column] | None = None) -> Measure:
     part = f"_n_{name}"
 
     def parts() -> dict[str, tuple[Column, str]]:
         agg = F.count(F.lit(1)) if predicate is None else M.count_where(predicate())
         return {part: (agg, "sum")}
 
-    return Measure(name, parts, lambda get: get(part), synonyms)
+    return Measure(name, parts, lambda get: get(part))
 
 
-def rate_measure(name: str, predicate: Callable[[], Column], digits: int = 1, synonyms: tuple[str, ...] = ()) -> Measure:
+def rate_measure(name: str, predicate: Callable[[], Column], digits: int = 1) -> Measure:
     num, den = f"_num_{name}", "_n_rows"
 
     def parts() -> dict[str, tuple[Column, str]]:
         return {num: (M.count_where(predicate()), "sum"), den: (F.count(F.lit(1)), "sum")}
 
-    return Measure(name, parts, lambda get: M.rate_pct(get(num), get(den), digits), synonyms)
+    return Measure(name, parts, lambda get: M.rate_pct(get(num), get(den), digits))
 
 
-def mean_measure(name: str, col: str, digits: int | None, synonyms: tuple[str, ...] = ()) -> Measure:
+def mean_measure(name: str, col: str, digits: int | None) -> Measure:
     s, n = f"_sum_{col}", f"_cnt_{col}"
 
     def parts() -> dict[str, tuple[Column, str]]:
@@ -169,22 +158,22 @@ def mean_measure(name: str, col: str, digits: int | None, synonyms: tuple[str, .
         value = M.ratio(get(s), get(n))
         return value if digits is None else M.round_half_up(value, digits)
 
-    return Measure(name, parts, final, synonyms)
+    return Measure(name, parts, final)
 
 
 def default_registry() -> Registry:
     r = Registry()
-    r.add(Filter("failed inspections", lambda: F.col("result") == "fail", ("failures", "defects", "failed items")))
-    r.add(Filter("critical defects", lambda: F.col("severity") == "critical", ("critical issues", "severe defects")))
-    r.add(Filter("inbound shipments", lambda: F.col("direction") == "inbound", ("incoming", "receiving", "inbound")))
-    r.add(Dimension("inspection_month", lambda: M.bucket("inspection_timestamp", "month"), ("month", "monthly")))
-    r.add(Dimension("defect_category", lambda: map_groups("defect_type", DEFECT_GROUPS, "None"), ("defect group",)))
-    r.add(count_measure("total_inspections", synonyms=("inspection count", "number of inspections")))
+    r.add(Filter("failed inspections", lambda: F.col("result") == "fail"))
+    r.add(Filter("critical defects", lambda: F.col("severity") == "critical"))
+    r.add(Filter("inbound shipments", lambda: F.col("direction") == "inbound"))
+    r.add(Dimension("inspection_month", lambda: M.bucket("inspection_timestamp", "month")))
+    r.add(Dimension("defect_category", lambda: map_groups("defect_type", DEFECT_GROUPS, "None")))
+    r.add(count_measure("total_inspections"))
     r.add(count_measure("failures", lambda: F.col("result") == "fail"))
-    r.add(mean_measure("avg_confidence", "confidence_score", 3, ("model confidence", "avg confidence score")))
-    r.add(rate_measure("defect_rate_pct", lambda: F.col("result") == "fail", 1, ("failure rate", "defect percentage")))
-    r.add(rate_measure("pass_rate", lambda: F.col("result") == "pass", 1, ("quality rate", "success rate")))
-    r.add(mean_measure("avg_scan_time", "total_scan_duration_seconds", 0, ("scan duration", "processing time")))
+    r.add(mean_measure("avg_confidence", "confidence_score", 3))
+    r.add(rate_measure("defect_rate_pct", lambda: F.col("result") == "fail", 1))
+    r.add(rate_measure("pass_rate", lambda: F.col("result") == "pass", 1))
+    r.add(mean_measure("avg_scan_time", "total_scan_duration_seconds", 0))
     return r
 
 

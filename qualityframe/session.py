@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # Settings applied only when the session does not already define them.
@@ -41,7 +42,11 @@ def get_session(
     builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for key, value in {**DEFAULT_CONF, **(extra or {})}.items():
+    submitted = SparkConf()  # what spark-submit and spark-defaults.conf have set
+    for key, value in DEFAULT_CONF.items():
+        if not submitted.contains(key):
+            builder = builder.config(key, value)
+    for key, value in (extra or {}).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     sc = _context(spark)
@@ -82,7 +87,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    if not sc.master.startswith("local"):
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
     scratch = tempfile.mkdtemp(prefix="qualityframe-ckpt-", dir=os.environ.get("TMPDIR"))
     sc.setCheckpointDir(scratch)

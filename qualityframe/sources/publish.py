@@ -16,55 +16,55 @@ from pyspark.sql import functions as F
 
 _IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
-# Column documentation of the three published tables.
+#: What the columns of the three published tables hold here, and which input they come from.
 COLUMN_COMMENTS: dict[str, dict[str, str]] = {
     "inspection_events": {
-        "inspection_id": "Unique inspection identifier",
-        "inspection_timestamp": "When the item was inspected",
-        "facility_id": "Facility (distribution center) of the inspection",
-        "dock_id": "Dock within the facility",
-        "shipment_id": "Parent shipment of the item",
-        "item_sku": "Stock keeping unit of the item",
-        "product_name": "Product name",
-        "product_category": "Product category",
-        "inspection_type": "item_count, label_scan or damage_check",
-        "result": "pass, warning or fail",
-        "confidence_score": "Model confidence of the result (0-1)",
-        "defect_type": "Defect found; NULL when the item passed",
-        "severity": "critical, major or minor; NULL when the item passed",
-        "processing_time_ms": "Processing time of the inspection",
+        "inspection_id": "INSP- and the rank of the row by ship date, order and line",
+        "inspection_timestamp": "Ship date of the order line",
+        "facility_id": "Nation of the line's supplier; NULL if the supplier is not listed",
+        "dock_id": "Supplier key",
+        "shipment_id": "Order key",
+        "item_sku": "Part key",
+        "product_name": "Name of the part; NULL if the part is not listed",
+        "product_category": "Type of the part",
+        "inspection_type": "By line number modulo 3",
+        "result": "By return flag: R fail, A warning, N pass",
+        "confidence_score": "1 minus the discount",
+        "defect_type": "By inspection type and tax rate; NULL for a pass",
+        "severity": "By quantity; NULL for a pass",
+        "processing_time_ms": "Quantity of the line",
     },
     "dock_scans": {
-        "shipment_id": "Shipment identifier",
-        "scan_date": "Date of the last item scan of the shipment",
-        "expected_item_count": "Items expected on the shipment",
-        "verified_item_count": "Items actually inspected",
-        "items_passed": "Inspected items that passed",
-        "items_failed": "Inspected items that failed",
-        "items_warning": "Inspected items with a warning",
-        "sku_match_rate_pct": "Percent of items without a SKU mismatch",
-        "damage_rate_pct": "Percent of items with physical damage",
-        "total_scan_duration_seconds": "Seconds between first and last item scan",
-        "status": "completed, flagged or rejected by failure share",
+        "shipment_id": "Order key",
+        "scan_date": "Latest ship date among the lines",
+        "expected_item_count": "Highest line number",
+        "verified_item_count": "Lines found",
+        "items_passed": "Lines with flag N",
+        "items_failed": "Lines with flag R",
+        "items_warning": "Lines with flag A",
+        "sku_match_rate_pct": "100 x lines without sku_mismatch / lines",
+        "damage_rate_pct": "100 x lines with a damage defect / lines",
+        "total_scan_duration_seconds": "First to last ship date, in seconds",
+        "status": "By the share of failed lines",
     },
     "model_performance": {
-        "evaluation_date": "First day of the evaluation month",
-        "model_name": "Model name",
-        "model_version": "Model version",
-        "inspection_type": "Inspection type served by the model",
-        "facility_id": "Facility of the predictions",
-        "precision_pct": "TP / predicted positives, percent",
-        "recall_pct": "TP / actual positives, percent",
-        "f1_score_pct": "Harmonic mean of precision and recall, percent",
-        "false_positive_rate_pct": "FP / actual negatives, percent",
-        "false_negative_rate_pct": "FN / actual positives, percent",
-        "total_inferences": "Predictions evaluated",
-        "avg_latency_ms": "Mean inference latency",
+        "evaluation_date": "Month of the ship date, as its first day",
+        "model_name": "Model that serves the inspection type",
+        "model_version": "Version whose discount threshold predicts a failure",
+        "inspection_type": "By line number modulo 3",
+        "facility_id": "Nation of the supplier",
+        "precision_pct": "100 x true positives / predicted failures",
+        "recall_pct": "100 x true positives / failures",
+        "f1_score_pct": "2 P R / (P + R) of the two columns before",
+        "false_positive_rate_pct": "100 x false positives / lines that did not fail",
+        "false_negative_rate_pct": "100 x false negatives / failures",
+        "total_inferences": "Lines in the group",
+        "avg_latency_ms": "Mean quantity of the lines",
     },
 }
 
 
-# Table documentation of the three published tables.
+#: Table documentation of the three published tables.
 TABLE_COMMENTS: dict[str, str] = {
     "inspection_events": "One row per inspected item: outcome, defect, severity and confidence",
     "dock_scans": "One row per shipment: item counts, match and damage rates, scan status",

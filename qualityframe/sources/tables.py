@@ -61,11 +61,8 @@ class Tables:
 
     @classmethod
     def shared(cls, spark: SparkSession, source: str) -> "Tables":
-        key = (id(spark), os.path.normpath(source))
-        t = cls._shared.get(key)
-        if t is None or t.spark is not spark:
-            t = cls._shared[key] = cls(spark, source)
-        return t
+        """Tables for one query: files are listed and plans built anew, so appended files are seen."""
+        return cls(spark, source)
 
     def refresh(self) -> None:
         """Forget the read DataFrames and derived views (re-list files on next access)."""

@@ -21,7 +21,7 @@ GOLD = {
     "top_critical_items": """
         SELECT item_sku, product_name, COUNT(*) AS critical_defects
         FROM inspection_events WHERE severity = 'critical'
-        GROUP BY item_sku, product_name ORDER BY critical_defects DESC, item_sku LIMIT 10""",
+        GROUP BY item_sku, product_name ORDER BY critical_defects DESC, item_sku""",
 }
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from qualityframe.functions import measures as M
 from qualityframe.functions.hashing import hash_bucket, hash_fraction, hash_int
-from qualityframe.functions.rules import banded_outcome, classify, map_groups, version_parts
+from qualityframe.functions.rules import classify, map_groups, version_key
 from qualityframe.functions.text import assemble_timestamp, format_id, slugify
-from qualityframe.operators.compare import diff_multiset, diff_results, value_dictionary
+from qualityframe.operators.compare import check_answer, diff_multiset, diff_results, value_dictionary
 from qualityframe.operators.ids import assign_by_index, sequence_id
 from qualityframe.operators.ranking import latest_snapshot, ranked, top_k
 from qualityframe.operators.sampling import hash_sample
@@ -23,6 +23,7 @@ from qualityframe.operators.spine import (
     spine_from_bounds,
     weekdays_only,
 )
+from qualityframe.plans import jobs
 from qualityframe.plans.registry import DEFECT_GROUPS
 from qualityframe.sources.tables import Tables, dimension
 
@@ -76,7 +77,7 @@ def test_md5_fraction_fixture(spark):
     df = spark.createDataFrame([(d("2025-01-02"),)], "day date")
     row = df.select(
         hash_int(7, "x", "day", modulo=10000, method="md5").alias("b"),
-        hash_fraction(7, "x", "day", method="md5").alias("f"),
+        hash_fraction(7, "x", "day", grid=10000, method="md5").alias("f"),
     ).first()
     assert (row.b, row.f) == (9269, 0.9269)
 
@@ -183,24 +184,9 @@ def test_assign_by_index(spark):
 
 
 def test_classify_first_match_and_total(spark):
-    df = spark.createDataFrame([("Electronics", "label_scan", 11), ("Food", "damage_check", 12), ("Other", "x", 1)],
-                               "cat string, itype string, mo int")
-    rate = classify(
-        [
-            ((F.col("cat") == "Food") & (F.col("itype") == "damage_check"), 0.0040),
-            ((F.col("cat") == "Electronics") & (F.col("itype") == "label_scan"), 0.0035),
-            ((F.col("cat") == "Electronics") & F.col("mo").isin(11, 12), 0.0045),
-        ],
-        0.0020,
-    )
-    # Electronics label_scan stays 0.0035 in November: its rule comes first
-    assert [r[0] for r in df.select(rate).collect()] == [0.0035, 0.0040, 0.0020]
-
-
-def test_banded_outcome_edges(spark):
-    df = spark.createDataFrame([(0.0999,), (0.10,), (0.1499,), (0.15,)], "s double")
-    got = [r[0] for r in df.select(banded_outcome("s", 0.10, 0.05)).collect()]
-    assert got == ["fail", "warning", "warning", "pass"]
+    df = spark.createDataFrame([(3, "a"), (12, "a"), (12, "b"), (None, "b")], "n int, k string")
+    size = classify([((F.col("k") == "b") & (F.col("n") > 10), "big b"), (F.col("n") > 10, "big")], "rest")
+    assert [r[0] for r in df.select(size).collect()] == ["rest", "big", "big b", "rest"]
 
 
 def test_map_groups_null_is_none(spark):
@@ -229,13 +215,45 @@ def test_rate_pct_zero_denominator(spark):
 
 
 def test_version_rank_numeric(spark):
-    df = spark.createDataFrame([("v2.10",), ("v2.2",), ("v10.0",), ("v2.2",)], "v string")
-    major, minor = version_parts(F.col("v"))
-    vals = df.select("v", major.alias("major"), minor.alias("minor"))
+    df = spark.createDataFrame([("v2.10",), ("v2.2",), ("v10.0",), ("v2.2",), ("v2.2.10",), ("v2.2.9",), (None,)], "v string")
+    vals = df.select("v", version_key("v").alias("p"))
     for bounded in (False, True):
-        out = ranked(vals, [F.asc("major"), F.asc("minor")], keys=["major", "minor"], name="r", method="dense",
-                     bounded=bounded)
-        assert dict((r.v, r.r) for r in out.collect()) == {"v2.2": 1, "v2.10": 2, "v10.0": 3}
+        out = ranked(vals.filter("p IS NOT NULL"), [F.asc("p")], keys=["p"], name="r", method="dense", bounded=bounded)
+        assert dict((r.v, r.r) for r in out.collect()) == {"v2.2": 1, "v2.2.9": 2, "v2.2.10": 3, "v2.10": 4, "v10.0": 5}
+    assert vals.filter("v IS NULL").first()["p"] is None
+
+
+def test_sampling_rates_below_the_old_grid(spark):
+    df = spark.range(2_000_000)
+    for method in ("murmur3", "md5"):
+        n = hash_sample(df, 0.00015, ["id"], method=method).count()
+        assert 200 < n < 400
+    with pytest.raises(ValueError):
+        hash_sample(df, 0.00015, ["id"], grid=10_000)
+    with pytest.raises(ValueError):
+        hash_sample(df, 1e-12, ["id"])
+
+
+def test_diff_with_null_keys_finds_nothing(spark):
+    df = spark.createDataFrame([(None, 1), ("a", None), ("b", 2)], "k string, v int")
+    assert diff_results(df, df, ["k"]).count() == 0
+    assert check_answer(df, df, ["k"])["passed"] and check_answer(df, df)["passed"]
+    other = spark.createDataFrame([(None, 5), ("a", None), ("b", 2)], "k string, v int")
+    assert [tuple(r) for r in diff_results(df, other, ["k"]).collect()] == [(None, "changed", "v")]
+
+
+def test_missing_dimension_rows_keep_the_facts(spark, items, products):
+    got = jobs.with_product(items.withColumn("item_sku", F.col("item_sku")), products.limit(1).withColumnsRenamed(
+        {"product_name": "p_name", "product_category": "p_type"}))
+    assert got.count() == items.count()
+
+
+def test_tables_see_appended_files(spark, tmp_path):
+    path = str(tmp_path / "orders.parquet")
+    spark.range(3).withColumnRenamed("id", "o_orderkey").write.parquet(path)
+    assert Tables.shared(spark, str(tmp_path)).orders.count() == 3
+    spark.range(2).withColumnRenamed("id", "o_orderkey").write.mode("append").parquet(path)
+    assert Tables.shared(spark, str(tmp_path)).orders.count() == 5
 
 
 def test_rank_with_ties_parallel_and_bounded(spark):
@@ -321,7 +339,7 @@ def test_diff_multiset(spark):
     a = spark.createDataFrame([(1,), (1,), (2,)], "k int")
     b = spark.createDataFrame([(1,), (3,)], "k int")
     got = sorted(tuple(r) for r in diff_multiset(a, b).collect())
-    assert got == [(1, "only_left"), (2, "only_left"), (3, "only_right")]
+    assert got == [(1, 2, 1), (2, 1, 0), (3, 0, 1)]
 
 
 def test_value_dictionary(spark):

@@ -85,4 +85,4 @@ def test_carrier_join_reuses_rollup_partitioning(spark):
 
 def test_critical_filter_reaches_parquet(spark):
     p = plan(QUERIES["q_critical_trend"](spark, SF001))
-    assert "LessThan(l_quantity,8.0)" in p
+    assert "LessThan(l_quantity,10.0)" in p

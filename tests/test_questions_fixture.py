@@ -62,10 +62,6 @@ def test_registry_whole_table(items):
     assert tuple(out.first()) == (6, 0.617, 50.0, 33.3)
 
 
-def test_registry_lookup_by_synonym():
-    assert REGISTRY.find("failure rate").name == "defect_rate_pct"
-    assert REGISTRY.find("Incoming").name == "inbound shipments"
-
 
 def test_defect_groups(items):
     out = questions.defect_categories(items)
