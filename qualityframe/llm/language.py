@@ -145,13 +145,17 @@ def fit(
     train = train.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     df = document_frequencies(train, text)
     idf = np.log((1 + df[SIZE]) / (1 + df[:SIZE])) + 1
-    sample = [(y, c) for y, t in training_sample(train, per_language, lang, text, ident) if (c := ngram_counts(t)) is not None]
-    languages = sorted({y for y, _ in sample})
-    model = LanguageModel(languages, idf, np.zeros((SIZE, len(languages))), np.zeros(len(languages)), 1.0)
+    model = LanguageModel([], idf, np.zeros((SIZE, 0)), np.zeros(0), 1.0)
+    sample = []
+    for y, t in training_sample(train, per_language, lang, text, ident):
+        if (counts := ngram_counts(t)) is not None:  # kept sparse: the driver holds the bounded sample
+            at, value = model.vector(counts)
+            sample.append((y, at.astype(np.int32), value))
+    languages = sorted({y for y, _, _ in sample})
     if not languages:
         return model
     order = np.random.default_rng(seed).permutation(len(sample))
-    rows = [(languages.index(sample[k][0]), *model.vector(sample[k][1])) for k in order]
+    rows = [(languages.index(sample[k][0]), *sample[k][1:]) for k in order]
     back = max(1, int(len(rows) * CALIBRATION_SHARE)) if len(rows) > len(languages) * 5 else 0
     held, used = rows[:back], rows[back:]
     weights, bias = ftrl(used, len(languages))
