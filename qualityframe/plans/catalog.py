@@ -129,13 +129,13 @@ def q_accuracy_by_facility(spark: SparkSession, source: str) -> DataFrame:
 @query
 def q_mean_duration_by_facility(spark: SparkSession, source: str) -> DataFrame:
     t = _t(spark, source)
-    return questions.mean_duration_by_facility(_items(t), _facilities(t))
+    return questions.mean_duration_by_facility(jobs.shipment_rollup(_items(t)), _facilities(t))
 
 
 @query
 def q_mean_duration_by_dock(spark: SparkSession, source: str) -> DataFrame:
     t = _t(spark, source)
-    return questions.mean_duration_by_dock(_items(t), _facilities(t))
+    return questions.mean_duration_by_dock(jobs.shipment_rollup(_items(t)), _facilities(t))
 
 
 @query

@@ -229,6 +229,8 @@ def _attach_items(facts: DataFrame, part: DataFrame, supplier: DataFrame, nation
 def shipment_rollup(items: DataFrame, reject_above: float = 0.85, flag_above: float = 0.70) -> DataFrame:
     """T2: one row per shipment from its items (passed + failed + warning = verified).
 
+    A shipment of several suppliers belongs to the dock of its lowest line (the smaller dock on a tie).
+
     One hash aggregate keyed by shipment; partial aggregation happens map-side, so an
     order with many lines costs one partial row per task before the shuffle.
     """
@@ -243,10 +245,12 @@ def shipment_rollup(items: DataFrame, reject_above: float = 0.85, flag_above: fl
         M.count_where(F.col("defect_type").isin(physical)).alias("_damaged"),
         F.min("inspection_timestamp").alias("_first"),
         F.max("inspection_timestamp").alias("_last"),
+        F.min(F.struct("l_linenumber", "dock_id")).alias("_lead"),
     )
     fail_share = M.ratio(F.col("items_failed"), F.col("verified_item_count"))
     return g.select(
         "shipment_id",
+        F.col("_lead.dock_id").alias("dock_id"),
         F.to_date("_last").alias("scan_date"),
         "expected_item_count",
         "verified_item_count",

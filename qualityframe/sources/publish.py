@@ -36,6 +36,7 @@ COLUMN_COMMENTS: dict[str, dict[str, str]] = {
     },
     "dock_scans": {
         "shipment_id": "Order key",
+        "dock_id": "Supplier key of the lowest line",
         "scan_date": "Latest ship date among the lines",
         "expected_item_count": "Highest line number",
         "verified_item_count": "Lines found",
