@@ -40,12 +40,17 @@ def deploy(
     or a ``Tables``); returns the target, per-table row counts and the total."""
     t = source if isinstance(source, Tables) else Tables(spark, source)
     target = resolve_target(spark, catalog, schema)
-    if target["catalog"] != spark.catalog.currentCatalog():
+    before = spark.catalog.currentCatalog()
+    if target["catalog"] != before:
         spark.catalog.setCurrentCatalog(target["catalog"])
-    summary = publish_all(spark, build_tables(t), schema=target["schema"], partition_by=partition_by)
+    try:
+        summary = publish_all(spark, build_tables(t), schema=target["schema"], partition_by=partition_by)
+    finally:
+        if target["catalog"] != before:
+            spark.catalog.setCurrentCatalog(before)
     return {**target, **summary}
 
 
-def teardown(spark: SparkSession, schema: str, **_: object) -> dict:
-    """Drop the published schema (``teardown(spark, **deploy(...))`` works)."""
-    return drop_dataset(spark, schema)
+def teardown(spark: SparkSession, schema: str, catalog: str | None = None, **_: object) -> dict:
+    """Drop the published schema of the catalog it was published to (``teardown(spark, **deploy(...))`` works)."""
+    return drop_dataset(spark, schema, catalog)

@@ -19,7 +19,7 @@ _IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 #: What the columns of the three published tables hold here, and which input they come from.
 COLUMN_COMMENTS: dict[str, dict[str, str]] = {
     "inspection_events": {
-        "inspection_id": "INSP- and the rank of the row by ship date, order and line",
+        "inspection_id": "INS- and the rank of the row by ship date, order and line",
         "inspection_timestamp": "Ship date of the order line",
         "facility_id": "Nation of the line's supplier; NULL if the supplier is not listed",
         "dock_id": "Supplier key",
@@ -186,12 +186,13 @@ def publish_all(
     }
 
 
-def drop_dataset(spark: SparkSession, schema: str) -> dict:
-    """DROP SCHEMA .. CASCADE; failures are reported, not raised."""
+def drop_dataset(spark: SparkSession, schema: str, catalog: str | None = None) -> dict:
+    """DROP SCHEMA .. CASCADE in ``catalog`` (the current one by default); failures are reported, not raised."""
     validate_identifier(schema, "schema")
+    full = f"{validate_identifier(catalog, 'catalog')}.{schema}" if catalog else schema
     notes: list[str] = []
     try:
-        spark.sql(f"DROP SCHEMA IF EXISTS {schema} CASCADE")
+        spark.sql(f"DROP SCHEMA IF EXISTS {full} CASCADE")
         dropped = True
     except Exception as exc:  # reported to the caller, as a teardown should not half-fail
         dropped = False
