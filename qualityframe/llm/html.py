@@ -1,11 +1,12 @@
 """HTML main text by a site style tree.
 
-All pages of a host are merged into one tree of presentation nodes (an element with its
-class and id, below its parent's node). Spark counts, for each node, the pages that have
-it, the presentation styles (sequences of child nodes) and the content features (text
-blocks) below it; entropies of both give each node an importance, combined bottom-up. In
-a page, branches at low-importance nodes go. Inside an ``article`` or ``main`` element,
-which marks the content itself, only elements that are named as something else go.
+All pages of a host are merged into one tree of presentation nodes (an element with those
+of its classes that recur on the host, below its parent's node). Spark counts, for each
+node, the pages that have it, the presentation styles (sequences of child nodes) and the
+content features (text blocks) below it; entropies of both give each node an importance,
+combined bottom-up, one level of all trees at a time. In a page, branches at low-importance
+nodes go. An ``article`` or ``main`` element is a prior on importance: it counts like
+``MIN_PAGES`` pages on which a node is important, and many pages that repeat it outweigh it.
 """
 
 from __future__ import annotations
@@ -27,8 +28,12 @@ from .common import checkpointed, table
 MIN_PAGES = 5
 LOW = 0.35
 GAMMA = 0.9
-#: Paths of the low-importance table up to which it is broadcast.
+#: Paths of the low-importance table, or recurring classes, up to which they are broadcast.
 BROADCAST_PATHS = 100_000
+#: Levels that are combined one by one; what is nested deeper is combined within its branch.
+DEEP = 40
+#: Paths of nodes that are, or are inside, an article or main element or one with that role.
+IN_MAIN = r"/(article|main)(\.[^/]*)?(/|$)|%main"
 
 #: Elements without an end tag, elements of raw text, elements that break a block (fixed values of HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -85,11 +90,25 @@ def _named_as_other(tag: str, attrs: dict[str, str], main: bool) -> bool:
     return any(w in NOT_MAIN_WORD for w in _WORDS.findall(names)) if names != " " else False
 
 
-def walk(page: str, low: frozenset[str] = frozenset()) -> tuple[list[tuple[str, str, bool, bool]], list[Node]]:
+def _escaped(name: str) -> str:
+    return name.replace("%", "%25").replace("/", "%2F").replace(".", "%2E")
+
+
+def _key(tag: str, attrs: dict[str, str], classes: frozenset[str]) -> str:
+    """An element's step in a path: its tag, and in order its recurring classes; neither has a bare ``/`` or ``.``."""
+    named = sorted({_escaped(c) for c in attrs.get("class", "").split() if c in classes})
+    if attrs.get("role") == "main":
+        named.append("%main")
+    return ".".join([_escaped(tag), *named])
+
+
+def walk(
+    page: str, low: frozenset[str] = frozenset(), classes: frozenset[str] = frozenset()
+) -> tuple[list[tuple[str, str, bool, bool]], list[Node]]:
     """Blocks (path, text, dropped, inside article or main) and elements of a page, in page order.
 
     A block's text has its character references decoded and its white space made single.
-    ``low``: paths whose branches go, outside of an article or main element.
+    ``low``: paths whose branches go. ``classes``: the class tokens that paths are keyed on.
     """
     blocks: list[tuple[str, str, bool, bool]] = []
     seen: list[Node] = []
@@ -146,11 +165,11 @@ def walk(page: str, low: frozenset[str] = frozenset()) -> tuple[list[tuple[str,
             continue
         up = stack[-1]
         attrs = {a[1].lower(): next((v for v in a.groups()[1:] if v is not None), "") for a in _ATTR.finditer(m[4])} if m[4] else {}
-        named = f"{tag}.{attrs['class']}" if attrs.get("class") else tag
+        named = _key(tag, attrs, classes)
         path = f"{up.path}/{named}"
         main = up.main or tag in ("article", "main") or attrs.get("role") == "main"
         node = Node(tag, path, up.drop, main)
-        if not up.drop and (_named_as_other(tag, attrs, main) or (path in low and not main)):
+        if not up.drop and (_named_as_other(tag, attrs, main) or path in low):
             flush()
             node.drop = True
         up.kids.append(named)
@@ -164,11 +183,11 @@ def walk(page: str, low: frozenset[str] = frozenset()) -> tuple[list[tuple[str,
     return blocks, seen
 
 
-def main_text(page: str | None, low: frozenset[str] = frozenset()) -> str:
+def main_text(page: str | None, low: frozenset[str] = frozenset(), classes: frozenset[str] = frozenset()) -> str:
     """The blocks of the article, joined by line feeds; of the article or main element if there is one with text."""
     if not page:
         return ""
-    kept = [(text, main) for _, text, dropped, main in walk(page, low)[0] if not dropped]
+    kept = [(text, main) for _, text, dropped, main in walk(page, low, classes)[0] if not dropped]
     inner = [text for text, main in kept if main]
     return "\n".join(inner or [text for text, _ in kept])
 
@@ -178,14 +197,38 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each page: one row (host, name) per class token."""
+    for batch in batches:
+        hosts: list[str] = []
+        names: list[str] = []
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own: set[str] = set()
+            for m in _TOKEN.finditer(page or ""):
+                if m[4] and "class" in m[4].lower():
+                    for a in _ATTR.finditer(m[4]):
+                        if a[1].lower() == "class":
+                            own.update(next((v for v in a.groups()[1:] if v is not None), "").split())
+            hosts += [host] * len(own)
+            names += own
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(names, pa.string())], ["host", "name"])
+
+
+def recurring_classes(pages: DataFrame, host: str = "host", html: str = "html") -> DataFrame:
+    """(host, classes): the class tokens on ``MIN_PAGES`` pages of a host; names of fewer pages tell nothing of a site."""
+    seen = pages.select(F.col(host).alias("host"), F.col(html).alias("html")).mapInArrow(_classes, "host string, name string")
+    counts = seen.groupBy("host", "name").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= MIN_PAGES)
+    return counts.groupBy("host").agg(F.sort_array(F.collect_list("name")).alias("classes"))
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each page and node: one row (host, path, kind, value) per style and per text block."""
     for batch in batches:
         rows: list[tuple[str, str, int, int]] = []
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for host, page, classes in zip(*(c.to_pylist() for c in batch.columns)):
             if not page:
                 continue
-            blocks, nodes = walk(page)
+            blocks, nodes = walk(page, classes=frozenset(classes or ()))
             own = set()
             for n in nodes:
                 kids = [k for i, k in enumerate(n.kids) if not i or n.kids[i - 1] != k]  # repeated items are one style
@@ -200,15 +243,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _importance(stats: pd.DataFrame) -> pd.DataFrame:
-    """Composite importance of every node of one host, children before parents."""
+def _deep_importance(stats: pd.DataFrame) -> pd.DataFrame:
+    """What ``_importances`` says of the nodes of one branch, children before parents."""
     own = {r.path: r for r in stats.itertuples()}
     kids: dict[str, list[str]] = {}
-    for path in own:
-        kids.setdefault(path.rpartition("/")[0], []).append(path)
+    for path, r in own.items():
+        kids.setdefault(r.parent, []).append(path)
     got: dict[str, float] = {}
     peak: dict[str, float] = {}
-    for path in sorted(own, key=lambda p: -p.count("/")):
+    for path in sorted(own, key=lambda p: -own[p].depth):
         r = own[path]
         parts = [(own[k].pages, got[k]) for k in kids.get(path, [])]
         if r.blocks:
@@ -216,25 +259,68 @@ def _importance(stats: pd.DataFrame) -> pd.DataFrame:
         below = sum(w * x for w, x in parts) / sum(w for w, _ in parts) if parts else 0.0
         share = GAMMA ** r.styles
         got[path] = (1 - share) * r.style + share * below if kids.get(path) else below
-        named = path.rpartition("/")[2].partition(".")[0] in ("article", "main")
-        peak[path] = max(1.0 if named else got[path], *(peak[k] for k in kids.get(path, [])), 0.0)
-    return pd.DataFrame({
-        "host": stats["host"].iloc[0], "path": list(got), "pages": [own[p].pages for p in got],
-        "importance": list(got.values()), "branch": list(peak.values()),
-    })
+        told = (MIN_PAGES + r.pages * got[path]) / (MIN_PAGES + r.pages) if re.search(IN_MAIN, path) else got[path]
+        peak[path] = max(told, *(peak[k] for k in kids.get(path, [])), 0.0)
+    return stats[["host", "path", "parent", "depth", "pages"]].assign(
+        importance=stats["path"].map(got), branch=stats["path"].map(peak)
+    )
+
 
+def _importances(nodes: DataFrame) -> DataFrame:
+    """Composite importance of all nodes, bottom-up: all hosts' nodes of one level meet their children's sums.
 
-def style_tree(pages: DataFrame, host: str = "host", html: str = "html") -> DataFrame:
+    Below ``DEEP`` levels, the few branches of broken or generated pages are combined whole, each in one task.
+    """
+    nodes = nodes.withColumn("depth", F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit(""))))
+    nodes = checkpointed(nodes.withColumn("parent", F.expr("substring_index(path, '/', depth)")))
+    deepest = nodes.agg(F.max("depth").alias("d")).first()["d"] or 0
+    columns = ["host", "path", "parent", "depth", "pages", "importance", "branch"]
+    levels: list[DataFrame] = []
+    if deepest > DEEP:
+        top = F.expr(f"substring_index(path, '/', {DEEP + 2})")
+        levels.append(checkpointed(
+            nodes.filter(F.col("depth") > DEEP).groupBy("host", top.alias("top")).applyInPandas(
+                _deep_importance, "host string, path string, parent string, depth int, pages long, importance double, branch double"
+            )
+        ))
+    for depth in range(min(deepest, DEEP), 0, -1):
+        level = nodes.filter(F.col("depth") == depth)
+        if levels:
+            under = levels[-1].filter(F.col("depth") == depth + 1).groupBy("host", F.col("parent").alias("path")).agg(
+                F.sum("pages").alias("w"), F.sum(F.col("pages") * F.col("importance")).alias("wx"), F.max("branch").alias("peak")
+            )
+            level = level.join(under, ["host", "path"], "left")
+        else:
+            level = level.withColumns({"w": F.lit(None).cast("long"), "wx": F.lit(None).cast("double"), "peak": F.lit(None).cast("double")})
+        said = F.when(F.col("blocks") > 0, F.col("pages")).otherwise(F.lit(0))
+        weight = F.coalesce("w", F.lit(0)) + said
+        below = F.when(weight > 0, (F.coalesce("wx", F.lit(0.0)) + said * F.col("content")) / weight).otherwise(F.lit(0.0))
+        share = F.pow(F.lit(GAMMA), F.col("styles"))
+        level = level.withColumn(
+            "importance", F.when(F.col("w").isNull(), below).otherwise((F.lit(1.0) - share) * F.col("style") + share * below)
+        )
+        told = F.when(
+            F.col("path").rlike(IN_MAIN), (F.lit(MIN_PAGES) + F.col("pages") * F.col("importance")) / (F.lit(MIN_PAGES) + F.col("pages"))
+        ).otherwise(F.col("importance"))
+        levels.append(checkpointed(level.withColumn("branch", F.greatest(told, F.coalesce("peak", F.lit(0.0)))).select(*columns)))
+    out = levels[0] if levels else nodes.withColumns({"importance": F.lit(0.0), "branch": F.lit(0.0)}).select(*columns)
+    for level in levels[1:]:
+        out = out.union(level)
+    return out.select("host", "path", "pages", "importance", "branch")
+
+
+def style_tree(pages: DataFrame, host: str = "host", html: str = "html", classes: str = "classes") -> DataFrame:
     """(host, path, pages, importance, branch) of all nodes of all hosts' style trees.
 
-    ``branch`` is the highest importance at or below the node: a branch is noise only if all of
-    it is. An article or main element counts as important.
+    ``classes`` has the class tokens that recur on the page's host. ``branch`` is the highest
+    importance at or below the node, raised by the prior in an article or main element: a
+    branch is noise only if all of it is.
 
     Style importance of a node on m pages is the entropy of its styles to the base m;
     content importance is 1 minus the mean, over its text blocks, of the entropy log_m(k) of
     a block that is on k pages. A host's pages meet only as counts: by value, then by node.
     """
-    seen = pages.select(F.col(host).alias("host"), F.col(html).alias("html")).mapInArrow(
+    seen = pages.select(F.col(host).alias("host"), F.col(html).alias("html"), F.col(classes).alias("classes")).mapInArrow(
         _features, "host string, path string, kind int, value long"
     )
     counts = seen.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("k"))
@@ -250,7 +336,13 @@ def style_tree(pages: DataFrame, host: str = "host", html: str = "html") -> Data
         F.coalesce((F.log("pages") - F.col("klogk") / F.col("pages")) / base, F.lit(1.0)).alias("style"),
         F.coalesce(F.lit(1.0) - F.col("logs") / F.col("blocks") / base, F.lit(1.0)).alias("content"),
     )
-    return nodes.groupBy("host").applyInPandas(_importance, "host string, path string, pages long, importance double, branch double")
+    return _importances(nodes)
+
+
+def _with_lists(rows: DataFrame, lists: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the array ``column`` that their host has in ``lists`` (checkpointed), or null."""
+    n = lists.agg(F.sum(F.size(column)).alias("n")).first()["n"] or 0
+    return rows.join(F.broadcast(lists) if n <= BROADCAST_PATHS else lists, "__host", "left")
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text", keep: bool = False) -> DataFrame:
@@ -261,18 +353,20 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
     """
     names = [c for c in pages.columns if c != out and (keep or c != html)]
     hosted = pages.withColumn("__host", host_of(F.col(url)))
+    classes = checkpointed(recurring_classes(hosted, "__host", html).select(F.col("host").alias("__host"), F.col("classes").alias("__classes")))
+    hosted = _with_lists(hosted, classes, "__classes")
     low = checkpointed(
-        style_tree(hosted, "__host", html).filter((F.col("pages") >= MIN_PAGES) & (F.col("branch") < LOW))
+        style_tree(hosted, "__host", html, "__classes").filter((F.col("pages") >= MIN_PAGES) & (F.col("branch") < LOW))
         .groupBy(F.col("host").alias("__host")).agg(F.sort_array(F.collect_list("path")).alias("__low"))
     )
-    paths = low.agg(F.sum(F.size("__low")).alias("n")).first()["n"] or 0
-    rows = hosted.join(F.broadcast(low) if paths <= BROADCAST_PATHS else low, "__host", "left")
+    rows = _with_lists(hosted, low, "__low")
     schema = StructType([*pages.select(names).schema.fields, StructField(out, StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lows = [frozenset(x or ()) for x in batch.column("__low").to_pylist()]
-            told = [main_text(p, x) for p, x in zip(batch.column(html).to_pylist(), lows)]
+            names_of = [frozenset(x or ()) for x in batch.column("__classes").to_pylist()]
+            told = [main_text(p, x, y) for p, x, y in zip(batch.column(html).to_pylist(), lows, names_of)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(told, pa.string())], [*names, out])
 
     return rows.mapInArrow(run, schema)

@@ -127,6 +127,36 @@ def test_style_tree_drops_what_all_pages_share(spark):
     assert all(r["text"] == f"Text number {r['page_id']} is its own" for r in got)
 
 
+def _texts(spark, page, n=20):
+    rows = [(i, "http://a.com/x", page.replace("{i}", str(i))) for i in range(n)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
+
+
+def test_style_tree_acts_inside_an_article(spark):
+    page = "<body><article><div class='k1'>Same on every page</div><p>Text {i}</p><p>Words {i}</p></article></body>"
+    assert _texts(spark, page) == [f"Text {i}\nWords {i}" for i in range(20)]
+    assert _texts(spark, page.replace("article", "main")) == [f"Text {i}\nWords {i}" for i in range(20)]
+    few = _texts(spark, page, 6)  # too few pages to outweigh the article
+    assert few == [f"Same on every page\nText {i}\nWords {i}" for i in range(6)]
+
+
+def test_style_tree_classes_with_a_slash_and_of_one_page(spark):
+    page = "<body><div class='grid'><div class='w-1/2'><article><p>Text {i}</p></article></div></div></body>"
+    assert _texts(spark, page) == [f"Text {i}" for i in range(20)]
+    page = "<body><div class='k1 post-{i}'><p>Same on every page</p></div><div class='k2 post-{i}'><p>Text {i}</p></div></body>"
+    assert _texts(spark, page) == [f"Text {i}" for i in range(20)]
+
+
+def test_style_tree_levels_and_deep_branches_agree(spark, monkeypatch):
+    rows = [("a", PAGE.format(i=i % 9, promo="p" * (i % 4)), None) for i in range(30)]
+    pages = spark.createDataFrame(rows, "host string, html string, classes array<string>")
+    tree = lambda: {r["path"]: (r["pages"], round(r["importance"], 9), round(r["branch"], 9)) for r in html.style_tree(pages).collect()}
+    whole = tree()
+    monkeypatch.setattr(html, "DEEP", 2)
+    assert tree() == whole and len(whole) > 10
+
+
 def test_language_model(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language.fit(docs.filter("doc_id % 2 = 0"), per_language=40)
