@@ -108,6 +108,24 @@ def test_near_vectors_against_brute_force(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_near_vectors_of_every_length(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for dim, n, first in ((48, 120, 0), (32, 90, 0), (20, 10, 0), (3, 4, 500)):  # two models share their ids
+        base = rng.normal(size=(n, dim))
+        x = np.concatenate([base, base[: n // 3] + 0.1 * rng.normal(size=(n // 3, dim)), 3 * base[: n // 4], base[-2:]])
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        near = (u @ u.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+        for i, c in enumerate(_union(len(x), np.argwhere(near).tolist())):
+            rows.append((first + i, x[i].tolist()))
+            want.setdefault(first + i, []).append((int(near[i].sum()), first + c))
+    got: dict = {}
+    for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)).collect():
+        got.setdefault(r["vec_id"], []).append((r["n_links"], r["component_id"]))
+        assert r["kept"] == (r["component_id"] == r["vec_id"])
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in want.items()}
+
+
 PAGE = """<html><head><title>t</title><style>p{{}}</style></head><body><header>Site</header><nav><ul><li><a href="/">Home</a></ul></nav>
 <div class="cookie-notice">We use cookies</div><div class="x">{promo}</div><article><h1>Head &amp; shoulders</h1><p>One {i}<p>two&nbsp;<b>three
  four</b><br>five<form><input>Send</form><div class="comments"><p>First!</p></div></article><aside>More</aside><script>if (a<b) c("</p>")</script><footer>&copy;</footer>"""
