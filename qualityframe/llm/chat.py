@@ -122,16 +122,30 @@ def format_chats(events: DataFrame, **columns: str) -> DataFrame:
 
 
 def conversation_events(rows: DataFrame) -> DataFrame:
-    """An event log for finished conversations: each turn opened, then streamed in two deltas."""
-    text = F.coalesce("text", F.lit(""))
+    """An event log for finished conversations, with all kinds of events; its fold gives each row's text back.
+
+    Every row is a turn of its own, numbered within its conversation by turn (nulls last), role
+    and text, so that null and repeated turns lose nothing. A turn is opened and drafted, and
+    the draft answered in the next turn; a regeneration takes both back, a second draft is
+    edited to the first half of the text, and the other half is streamed.
+    """
+    text, role = F.coalesce("text", F.lit("")), F.col("role")
     half = F.floor(F.length(text) / 2).cast("int")
-    log = F.array(
-        F.struct(F.lit(0).alias("k"), F.lit("message").alias("kind"), F.lit("").alias("t")),
-        F.struct(F.lit(1).alias("k"), F.lit("delta").alias("kind"), F.substring(text, F.lit(1), half).alias("t")),
-        F.struct(F.lit(2).alias("k"), F.lit("delta").alias("kind"), F.substring(text, half + 1, F.length(text)).alias("t")),
-    )
-    return rows.select("conv_id", "turn", "role", F.explode(log).alias("e")).select(
-        "conv_id", "turn", "role", (F.col("turn") * 3 + F.col("e.k")).alias("seq"), "e.kind", F.col("e.t").alias("text")
+    first, second = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+    nothing, draft = F.lit(None).cast("string"), F.lit("draft")
+    steps = [
+        (0, "message", role, F.lit("")), (0, "delta", nothing, draft), (1, "message", role, draft), (0, "regenerate", nothing, nothing),
+        (0, "delta", nothing, draft), (0, "edit", nothing, first), (0, "delta", nothing, second),
+    ]
+    log = F.array(*[
+        F.struct(F.lit(k).alias("k"), F.lit(later).alias("later"), F.lit(kind).alias("kind"), r.alias("r"), t.alias("t"))
+        for k, (later, kind, r, t) in enumerate(steps)
+    ])
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), F.coalesce("role", F.lit("")), text)
+    numbered = rows.select("conv_id", "role", "text", F.row_number().over(order).cast("long").alias("n"))
+    return numbered.select("conv_id", "n", F.explode(log).alias("e")).select(
+        "conv_id", (F.col("n") + F.col("e.later")).alias("turn"), F.col("e.r").alias("role"),
+        (F.col("n") * len(steps) + F.col("e.k")).alias("seq"), "e.kind", F.col("e.t").alias("text"),
     )
 
 

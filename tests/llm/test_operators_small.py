@@ -65,6 +65,22 @@ def test_chat_folds_events(spark):
     assert chat.format_chats(log.limit(0)).count() == 0
 
 
+def test_chat_rows_of_null_and_repeated_turns_keep_their_text(spark):
+    rows = [
+        (1, 0, "user", "hello"), (1, None, "assistant", "last words"), (1, 1, "user", "abcd"), (1, 1, "user", "wxyz"), (1, 1, "assistant", "same"),
+        (1, 1, "assistant", "same"), (2, None, None, "x"), (2, None, "user", None), (None, 3, "user", "héé"), (3, 7, None, "only"), (3, 6, "tool", "t"),
+    ]
+    want = {
+        1: [("user", "hello"), ("assistant", "same"), ("assistant", "same"), ("user", "abcd"), ("user", "wxyz"), ("assistant", "last words")],
+        2: [("", "x"), ("user", "")], None: [("user", "héé")], 3: [("tool", "t"), ("", "only")],
+    }
+    log = chat.conversation_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r["conv_id"]: r for r in chat.parse(chat.format_chats(log)).collect()}
+    assert {i: [(t["role"], t["text"]) for t in r["turns"]] for i, r in got.items()} == want
+    assert got[1]["loss_text"] == "samesamelast words"
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+
+
 def test_escape_is_reversible(spark):
     rng = random.Random(4)
     rows = [("".join(rng.choices(["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "\\", "<", "/", "s>", "x", "\n"], k=12)),) for _ in range(300)]
