@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import table
+from .common import checkpointed, small_side, table
 
 #: Hashed features; n-gram lengths.
 BITS = 15
@@ -121,18 +121,18 @@ def document_frequencies(train: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def training_sample(train: DataFrame, per_language: int, lang: str, text: str, ident: str) -> list[tuple[str, str]]:
-    """Up to ``per_language`` rows of every language in the order of a seeded hash; (lang, text)."""
+    """Up to ``per_language`` rows of every language, however many there are, in the order of a seeded hash; (lang, text)."""
     slim = train.select(F.col(lang).alias("lang"), F.col(ident).cast("string").alias("ident"))
     order = F.xxhash64(F.lit(29), F.coalesce("ident", F.lit("")))
-    sizes = slim.groupBy("lang").count()
+    sizes = small_side(checkpointed(slim.groupBy("lang").count()))
     # a share of the hash range that holds twice the rows needed leaves little to sort
     share = F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("count"))
-    picked = slim.join(F.broadcast(sizes.orderBy("lang").limit(1000)), "lang").withColumn("h", order)
+    picked = slim.join(sizes, "lang").withColumn("h", order)
     picked = picked.filter((F.pmod("h", F.lit(1_000_000)) / F.lit(1e6)) < share)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "ident"))
-    picked = picked.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("ident").distinct()
+    picked = checkpointed(picked.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("ident").distinct())
     rows = train.join(
-        F.broadcast(picked), F.col(ident).cast("string").eqNullSafe(F.col("ident"))
+        small_side(picked), F.col(ident).cast("string").eqNullSafe(F.col("ident"))
     ).select(F.col(lang).alias("lang"), F.col(text).alias("text"), "ident").orderBy("lang", "ident", "text").collect()
     return [(r["lang"], r["text"]) for r in rows]
 

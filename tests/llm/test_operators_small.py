@@ -203,6 +203,12 @@ def test_language_model(spark):
     assert empty.predict("some text") == ("und", 0.0)
 
 
+def test_language_sample_has_every_language(spark):
+    rows = [(i, f"a-{i:04}", f"text {i}") for i in range(1100)] + [(2000 + i, "zh", f"text {i}") for i in range(5)]
+    got = language.training_sample(spark.createDataFrame(rows, "doc_id long, lang string, text string"), 3, "lang", "text", "doc_id")
+    assert len({y for y, _ in got}) == 1101 and sum(y == "zh" for y, _ in got) == 3
+
+
 def _brute_components(texts, n, percent):
     sets = []
     for t in texts:
