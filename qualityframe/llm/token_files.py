@@ -1,7 +1,7 @@
 """Token-ID output compressed by Re-Pair grammars, with random access by document.
 
 A table of shards in order of document id. A shard is a run of whole documents whose ids
-were shortened by replacing frequent pairs by nonterminals, over several rounds; it stores
+were shortened by replacing frequent pairs by nonterminals until none is left; it stores
 the rules, the expansion length of every rule, the shortened sequence and the place where
 each document begins in it. The end id is never part of a pair, so each document begins at
 a symbol of its own and can be expanded alone.
@@ -28,7 +28,6 @@ from .pieces import binary_column, worker_encoder
 
 END = 2
 SHARD_TOKENS = 1_000_000
-ROUNDS = 4
 RULES_PER_ROUND = 2048
 #: A rule takes 12 bytes and saves a symbol of 2 bytes at each use.
 MIN_USES = 12
@@ -44,29 +43,31 @@ def _cells(keys: np.ndarray) -> np.ndarray:
     return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
 
 
-def compress(ids: np.ndarray, vocabulary: int, end: int = END, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, vocabulary: int, end: int = END) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shortened sequence, rules (k x 2), and a mask that says which ids of the input still begin a symbol.
 
     A round counts all pairs, takes the most frequent ones as new nonterminals and replaces
-    them from left to right; pairs with the end id are never taken.
+    them from left to right; pairs with the end id are never taken. Rounds go on until no pair that
+    may be taken is used ``MIN_USES`` times.
     """
     seq = ids.astype(np.int32)
     alive = np.ones(len(seq), bool)
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         keys = seq[:-1].astype(np.int64) << 32 | seq[1:]
         cells = _cells(keys)
         barred = (seq[:-1] == end) | (seq[1:] == end)
         counts = np.bincount(cells[~barred], minlength=1 << HASH_BITS)
         # cells below the threshold hold no frequent pair; the rest are counted exactly
         likely = np.partition(counts, -RULES_PER_ROUND)[-RULES_PER_ROUND]
-        often = (counts >= max(MIN_USES, likely))[cells] & ~barred
-        pairs, uses = np.unique(keys[often], return_counts=True)
-        best = np.argsort(-uses, kind="stable")[:RULES_PER_ROUND]
-        best = best[uses[best] >= MIN_USES]
+        for least in sorted({max(MIN_USES, likely), MIN_USES}, reverse=True):  # full cells may hold rare pairs only
+            often = (counts >= least)[cells] & ~barred
+            pairs, uses = np.unique(keys[often], return_counts=True)
+            best = np.argsort(-uses, kind="stable")[:RULES_PER_ROUND]
+            best = best[uses[best] >= MIN_USES]
+            if len(best):
+                break
         chosen = pairs[best]
         _, one = np.unique(_cells(chosen), return_index=True)
         chosen = chosen[np.sort(one)]  # one pair for each cell, so that a table finds it
@@ -88,8 +89,6 @@ def compress(ids: np.ndarray, vocabulary: int, end: int = END, rounds: int = ROU
         seq = seq[stay]
         rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], 1))
         made += len(chosen)
-        if len(at) < 0.02 * len(seq):
-            break
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.int64), alive
 
 

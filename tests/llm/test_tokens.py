@@ -90,6 +90,21 @@ def test_repair_round_trip(n, vocabulary):
         assert len(seq) < n
 
 
+def test_repair_leaves_no_frequent_pair():
+    rng = np.random.default_rng(8)
+    passage = rng.integers(3, 500, 600)
+    ids = np.concatenate([np.append(np.concatenate([passage, rng.integers(3, 500, 50)]), token_files.END) for _ in range(40)])
+    seq, rules, _ = token_files.compress(ids, 500)
+    assert np.array_equal(token_files.expand(seq, rules, 500), ids)
+    pairs: dict = {}
+    last = {}
+    for k, pair in enumerate(zip(seq[:-1].tolist(), seq[1:].tolist())):
+        if token_files.END not in pair and last.get(pair) != k - 1:  # uses that do not overlap
+            pairs[pair] = pairs.get(pair, 0) + 1
+            last[pair] = k
+    assert max(pairs.values()) < token_files.MIN_USES
+
+
 def test_token_files_against_the_library(spark, texts, tmp_path):
     tokenizer = Tokenizer.from_file(JSON)
     tokenizer.encode_special_tokens = True
