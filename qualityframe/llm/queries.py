@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embeddings, html, language, mixing, quality, shingles, suffixes, token_files
+from . import bpe, chat, embeddings, html, language, lines, mixing, quality, resampling, shingles, suffixes, token_files, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_mixture": mixing.op1_hierarchical_mixture,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_events": chat.op8_chat_events,
     "op9_repair_token_files": token_files.op9_repair_token_files,
     "op10_ftrl_language": language.op10_ftrl_language,
+    "op11_concatenated_resampling": resampling.op11_concatenated_resampling,
+    "op12_banded_trie": trie.op12_banded_trie,
+    "op13_perfect_hash_lines": lines.op13_perfect_hash_lines,
 }
 
 
@@ -27,4 +30,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_hierarchical_mixture": mixing.oracle_sql(),
         "op6_host_rules": quality.oracle_sql(),
         "op8_chat_events": chat.oracle_sql(),
+        "op11_concatenated_resampling": resampling.oracle_sql(),
+        "op12_banded_trie": trie.oracle_sql(),
+        "op13_perfect_hash_lines": lines.oracle_sql(),
     }
