@@ -30,7 +30,7 @@ FULL_GRID = {"murmur3": 1 << 31, "md5": 1 << 32}
 METHODS = ("murmur3", "md5")
 
 
-def _key_cols(seed: int | str, salt: str, cols: tuple[ColumnLike, ...]) -> list[Column]:
+def key_columns(seed: int | str, salt: str, cols: tuple[ColumnLike, ...]) -> list[Column]:
     return [F.lit(str(seed)), F.lit(str(salt)), *[to_col(c) for c in cols]]
 
 
@@ -38,7 +38,7 @@ def hash_int(seed: int | str, salt: str, *cols: ColumnLike, modulo: int, method:
     """Integer in [0, modulo) derived from (seed, salt, cols)."""
     if modulo <= 0:
         raise ValueError("modulo must be positive")
-    keys = _key_cols(seed, salt, cols)
+    keys = key_columns(seed, salt, cols)
     if method == "murmur3":
         return F.pmod(F.hash(*keys).cast("long"), F.lit(modulo).cast("long"))
     if method == "md5":

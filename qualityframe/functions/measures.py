@@ -1,7 +1,7 @@
 """Aggregate and scalar building blocks shared by every question.
 
-Rounding: doubles are rounded through DECIMAL(38,8) so that half-up rounding acts on
-the decimal value people read (0.285 -> 0.29), not on the binary neighbour of it.
+Rounding: doubles are rounded once, half-up, on the decimal value people read (0.285 -> 0.29,
+0.284999999999 -> 0.28), not on the binary neighbour of it.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from qualityframe.functions.columns import ColumnLike, to_col
 
 def round_half_up(col: ColumnLike, digits: int) -> Column:
     """ROUND half-up on the decimal reading of a double; result is DOUBLE."""
-    return F.round(to_col(col).cast("decimal(38,8)"), digits).cast("double")
+    return F.round(to_col(col).cast("double"), digits)
 
 
 def count_where(predicate: Column) -> Column:

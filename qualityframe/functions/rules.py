@@ -13,7 +13,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from qualityframe.functions.columns import ColumnLike, lit_or_col, to_col
-from qualityframe.functions.measures import clamp
 
 
 def classify(rules: Sequence[tuple[Column, object]], default: object = None) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,6 +93,37 @@ def value_dictionary(df: DataFrame, columns: Sequence[str], table_name: str | No
     return counted
 
 
+def frequent_values(df: DataFrame, column: str, share: float, table_name: str | None = None) -> DataFrame:
+    """(table_name, column_name, value, rows) of every value that at least ``share`` of the non-null rows hold, exact.
+
+    For columns with too many values to list. First a mergeable sketch of frequent items, of a
+    size that follows from ``share`` alone, gives candidates: with M counters its estimates are
+    off by 3.5 / M of the rows at most, so no such value is missing among the top
+    1 / (share - 3.5 / M). Then the candidates, a bounded list, are broadcast and counted.
+    """
+    if not 0.00001 <= share <= 1:
+        raise ValueError("share must lie in [0.00001, 1]")
+    counters = 1 << (math.ceil(16 / share) - 1).bit_length()
+    counters = min(counters, 1_000_000)
+    top = math.ceil(1 / (share - 3.5 / counters)) + 1
+    values = df.select(F.col(column).cast("string").alias("value"))
+    told = values.agg(F.count("value").alias("n"), F.expr(f"approx_top_k(value, {top}, {counters})").alias("t"))
+    likely = told.select("n", F.explode("t.item").alias("likely"))
+    counted = values.join(F.broadcast(likely), F.col("value") == F.col("likely")).groupBy("value", "n").agg(F.count(F.lit(1)).alias("rows"))
+    out = counted.filter(F.col("rows") >= F.lit(share) * F.col("n")).select(F.lit(column).alias("column_name"), "value", "rows")
+    return out if table_name is None else out.select(F.lit(table_name).alias("table_name"), "*")
+
+
+def value_dictionary_via(
+    df: DataFrame, key: str, attach: Callable[[DataFrame], DataFrame], columns: Sequence[str], table_name: str
+) -> DataFrame:
+    """``value_dictionary`` of columns that a dimension gives: rows are counted by ``key`` before ``attach`` joins it."""
+    counted = attach(df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")))
+    long = counted.select("_rows", *columns).unpivot(["_rows"], list(columns), "column_name", "value")
+    out = long.groupBy("column_name", "value").agg(F.sum("_rows").alias("rows"))
+    return out.select(F.lit(table_name).alias("table_name"), "*")
+
+
 def check_answer(actual: DataFrame, expected: DataFrame, keys: Sequence[str] | None = None) -> dict:
     """Grade ``actual`` against a gold answer: column names and types, then row differences
     (keyed with ``diff_results``, else as multisets). Only the per-kind counts (a handful of

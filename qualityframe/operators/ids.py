@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qualityframe.functions.columns import ColumnLike, to_col
+from qualityframe.operators.sizes import BROADCAST_ROWS
 from qualityframe.session import ensure_checkpoint_dir
 
 _PID = "_qf_pid"
@@ -90,10 +91,12 @@ def assign_by_index(
     order_by: Sequence[str],
     index_name: str = "_qf_idx",
 ) -> DataFrame:
-    """Attach the dimension row whose 0-based position (in ``order_by`` order) equals
-    ``idx_col``. ``dim`` is a small inline list: its index window runs in one task by
-    design and it is broadcast into the join."""
-    w = Window.orderBy(*order_by)
-    indexed = dim.withColumn(index_name, (F.row_number().over(w) - 1).cast("long"))
-    joined = df.withColumn(index_name, to_col(idx_col).cast("long")).join(F.broadcast(indexed), index_name, "inner")
-    return joined.drop(index_name)
+    """Attach the dimension row whose 0-based position (in ``order_by`` order) equals ``idx_col``.
+
+    A ``dim`` that a count proves small is numbered by one window and broadcast; a larger one is
+    numbered in parallel (``sequence_id``) and joined as Spark sees fit."""
+    asked = df.withColumn(index_name, to_col(idx_col).cast("long"))
+    if dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        position = (F.row_number().over(Window.orderBy(*order_by)) - 1).cast("long")
+        return asked.join(F.broadcast(dim.withColumn(index_name, position)), index_name, "inner").drop(index_name)
+    return asked.join(sequence_id(dim, order_by, start=0, name=index_name), index_name, "inner").drop(index_name)

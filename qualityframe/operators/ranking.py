@@ -35,6 +35,16 @@ def latest_snapshot(
     return src.join(top, target == F.col("_qf_latest"), "inner").drop("_qf_latest")
 
 
+def latest_period(df: DataFrame, ts: str, grain: str) -> DataFrame:
+    """Rows of the latest ``grain`` period of column ``ts`` (rows without a time drop out).
+
+    The period's start is computed inside a scalar subquery and compared with the raw column, so a
+    scan can skip row groups, and nothing of earlier periods reaches what follows.
+    """
+    start = df.select(bucket(F.max(ts), grain).cast(df.schema[ts].dataType)).scalar()
+    return df.filter(F.col(ts) >= start)
+
+
 def top_k(df: DataFrame, order_by: Sequence[Column], k: int) -> DataFrame:
     """First ``k`` rows in ``order_by`` order (give a tie-break for a stable answer).
 

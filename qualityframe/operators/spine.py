@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qualityframe.functions.columns import ColumnLike, to_col
+from qualityframe.operators.sizes import broadcast_if_small
 from qualityframe.session import default_parallelism
 
 _STEPS = ("day", "month")
@@ -160,11 +161,11 @@ def effective_from(
     """Keep rows whose ``key`` is already in effect on their date (date >= valid_from).
 
     The schedule is one row per key (e.g. per model version); keys missing from it are
-    dropped. Set ``broadcast_schedule`` when its size is bounded by construction (an
-    inline list); otherwise Spark's size-checked join selection decides.
+    dropped. ``broadcast_schedule`` asks for a broadcast, which a count of the schedule
+    must allow; otherwise Spark's size-checked join selection decides.
     """
     sched = schedule.select(F.col(key), F.col(valid_from).alias("_qf_valid_from"))
     if broadcast_schedule:
-        sched = F.broadcast(sched)
+        sched = broadcast_if_small(sched)
     joined = df.join(sched, key, "inner")
     return joined.filter(F.to_date(to_col(date_col)) >= F.col("_qf_valid_from")).drop("_qf_valid_from")

@@ -18,11 +18,14 @@ from qualityframe.functions.rules import (
     version_key,
 )
 from qualityframe.functions.text import assemble_timestamp, format_id, slugify
-from qualityframe.operators.compare import diff_multiset, diff_results, value_dictionary
+from qualityframe.operators.compare import diff_multiset, diff_results, frequent_values, value_dictionary, value_dictionary_via
+from qualityframe.operators.digests import diff_by_digest
 from qualityframe.operators.ids import assign_by_index, sequence_id
+from qualityframe.operators.intervals import in_force
 from qualityframe.operators.ranking import ranked
-from qualityframe.operators.sampling import hash_sample
+from qualityframe.operators.sampling import hash_sample, sample_exact
 from qualityframe.operators.spine import densify, effective_from, panel, spine_from_bounds, weekdays_only
+from qualityframe.operators.thresholds import confusion_by_threshold
 from qualityframe.plans import jobs, questions
 from qualityframe.plans.registry import REGISTRY, Filter, Via, count_measure, evaluate
 from qualityframe.sources.tables import Tables, dimension
@@ -35,6 +38,9 @@ SEED = 42
 #: The five market segments of the customer table, as the inline dimension of the indexed lookup.
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
+#: Share of the items from which an item key counts as frequent.
+FREQUENT_SHARE = 0.0007
+
 #: Schedule of the effective-dating query: a version starts every other year of the data (months from its first one).
 VERSION_START_OFFSETS = (("v1.0", 0), ("v1.1", 24), ("v1.2", 48))
 
@@ -45,11 +51,11 @@ def query(fn: QueryFn) -> QueryFn:
 
 
 def _t(spark: SparkSession, source: str) -> Tables:
-    return Tables.shared(spark, source)
+    """Tables for one query: files are listed anew, so appended files are seen."""
+    return Tables(spark, source)
 
 
-# Derived inputs shared by several questions are built once per (session, source) as
-# lazy views; every query still reads the whole tables when it runs.
+# Derived inputs that a query uses more than once are built once, as lazy views.
 
 
 def _items(t: Tables) -> DataFrame:
@@ -69,7 +75,8 @@ def _metrics(t: Tables) -> DataFrame:
 
 
 def _scans(t: Tables) -> DataFrame:
-    return t.view("scans", lambda: jobs.shipment_scans(jobs.shipment_rollup(_items(t)), t.orders))
+    """T2 without its ids."""
+    return t.view("scans", lambda: jobs.shipment_scans(jobs.shipment_rollup(_items(t)), t.orders, t.customer, _facilities(t)))
 
 
 def _events_as_items(t: Tables) -> DataFrame:
@@ -97,13 +104,19 @@ def q_this_period_rate(spark: SparkSession, source: str) -> DataFrame:
 
 @query
 def q_latest_snapshot_avg(spark: SparkSession, source: str) -> DataFrame:
-    return questions.latest_fp_rate(_metrics(_t(spark, source)))
+    t = _t(spark, source)
+    return questions.latest_fp_rate_of_items(_items(t), _facilities(t))
 
 
 @query
 def q_carrier_ranking(spark: SparkSession, source: str) -> DataFrame:
-    t = _t(spark, source)
-    return questions.carrier_ranking(_scans(t), jobs.carrier_dim(t.customer))
+    # the carriers are the market segments, a fixed list
+    return questions.carrier_ranking(_scans(_t(spark, source)), bounded=True)
+
+
+@query
+def q_flagged_carriers(spark: SparkSession, source: str) -> DataFrame:
+    return questions.flagged_carriers(_scans(_t(spark, source)))
 
 
 @query
@@ -155,23 +168,14 @@ def q_top_k_items(spark: SparkSession, source: str) -> DataFrame:
 _CRITICAL_RAW = Filter("critical defects", lambda: jobs.severity_is("critical"))
 
 
-def _order_scans(t: Tables) -> DataFrame:
-    """orders as shipment scans: direction by priority, status by order status."""
-    status = classify(
-        [(F.col("o_orderstatus") == "F", "completed"), (F.col("o_orderstatus") == "O", "flagged"),
-         (F.col("o_orderstatus") == "P", "rejected")],
-        None,
-    )
-    return t.orders.select("o_orderkey", "o_orderpriority", jobs.direction().alias("direction"), status.alias("status"))
-
-
 # "inbound shipments" as a predicate on the order priority (pushed into the orders scan)
 _INBOUND_RAW = Filter("inbound shipments", lambda: jobs.direction_is("inbound"))
 
 
 @query
 def q_inbound_rejected_rate(spark: SparkSession, source: str) -> DataFrame:
-    return questions.inbound_rejected_rate(_order_scans(_t(spark, source)), inbound=_INBOUND_RAW)
+    t = _t(spark, source)
+    return questions.inbound_rejected_rate(jobs.with_direction(jobs.shipment_rollup(_items(t)), t.orders), inbound=_INBOUND_RAW)
 
 
 @query
@@ -189,7 +193,7 @@ def q_mismatch_items(spark: SparkSession, source: str) -> DataFrame:
 
 @query
 def q_mean_score_by_type(spark: SparkSession, source: str) -> DataFrame:
-    return questions.mean_score_by_type(_t(spark, source).events, "event_type", "value", "avg_value")
+    return questions.mean_score_by_type(_items(_t(spark, source)), "inspection_type", "confidence_score")
 
 
 @query
@@ -212,7 +216,6 @@ def q_inbound_scan_time(spark: SparkSession, source: str) -> DataFrame:
         [REGISTRY.measures["avg_scan_time"], count_measure("total_scans")],
         by=["carrier_name"],
         where=[_INBOUND_RAW],
-        via=Via(["o_custkey"], jobs.carrier_dim(t.customer), ["c_custkey"]),
     )
 
 
@@ -241,10 +244,6 @@ def _handling(result, quantity, discount):
     )
 
 
-def _items_with_category(t: Tables) -> DataFrame:
-    return jobs.with_product(_items(t), t.part)
-
-
 @query
 def q_rule_classify(spark: SparkSession, source: str) -> DataFrame:
     """First-match handling class on (result, quantity, discount); items per class."""
@@ -317,6 +316,16 @@ def q_panel_skeleton(spark: SparkSession, source: str) -> DataFrame:
     return _event_panel(_t(spark, source))
 
 
+@query
+def q_panel_months(spark: SparkSession, source: str) -> DataFrame:
+    """The panel of the model metrics: every facility, model version and month of the orders."""
+    t = _t(spark, source)
+    bounds = t.orders.select(F.struct(F.min("o_orderdate").alias("lo"), F.max("o_orderdate").alias("hi"))).scalar()
+    facilities = t.nation.select(F.col("n_name").alias("facility_id"))
+    versions = [v for v, _ in jobs.VERSION_THRESHOLDS]
+    return panel(facilities, (bounds["lo"], bounds["hi"]), "month", "evaluation_date", values={"model_version": versions})
+
+
 @query
 def q_densify_daily(spark: SparkSession, source: str) -> DataFrame:
     """High-value events (value >= 250) per day and type, zero-filled over the full panel."""
@@ -345,6 +354,25 @@ def q_effective_versions(spark: SparkSession, source: str) -> DataFrame:
     )
 
 
+#: Spells of the versions: overlapping, with a gap, open on either side, one that ends before it begins.
+VERSION_SPELLS = (
+    ("v1.0", "initial", None, "1997-06-01"), ("v1.0", "patched", "1996-03-15", "1998-01-10"), ("v1.0", "recalled", "1999-01-01", "1999-03-01"),
+    ("v1.1", "trial", "1996-07-01", "1996-10-01"), ("v1.1", "rollout", "1996-09-01", None), ("v1.1", "backwards", "2000-01-01", "1999-01-01"),
+    ("v1.2", "trial", "1998-05-05", "2000-05-05"), ("v1.2", "parallel", "1998-05-05", "1999-02-01"), ("v1.2", "fixes", "1999-02-01", "1999-02-02"),
+)
+
+
+@query
+def q_versions_in_force(spark: SparkSession, source: str) -> DataFrame:
+    """Predictions by the spell of their version that was in force; rows and first day of each."""
+    preds = jobs.predictions(_items(_t(spark, source))).select("model_version", "ts", "predicted")
+    spells = dimension(spark, VERSION_SPELLS, "model_version string, spell string, valid_from string, valid_to string")
+    got = in_force(preds, "model_version", "ts", spells, "valid_from", "valid_to", ["spell"])
+    return got.groupBy("model_version", "spell").agg(
+        F.count(F.lit(1)).alias("predictions"), F.sum("predicted").alias("predicted"), F.min(F.to_date("ts")).alias("first_day")
+    )
+
+
 @query
 def q_version_rank(spark: SparkSession, source: str) -> DataFrame:
     """Version labels ranked by all their numeric parts: v2.2 before v2.10, v2.1.9 before v2.1.10."""
@@ -401,6 +429,13 @@ def q_sample_cluster(spark: SparkSession, source: str) -> DataFrame:
     return s.groupBy(F.col("l_suppkey").alias("dock_id")).agg(F.count(F.lit(1)).alias("items"))
 
 
+@query
+def q_sample_exact(spark: SparkSession, source: str) -> DataFrame:
+    """25 items of every inspection type and result (most items are passes), by the md5 of their keys."""
+    items = _items(_t(spark, source)).select("shipment_id", "l_linenumber", "item_sku", "inspection_type", "result")
+    return sample_exact(items, 25, ["inspection_type", "result"], ["shipment_id", "l_linenumber", "item_sku"], seed=SEED)
+
+
 @query
 def q_diff_multiset(spark: SparkSession, source: str) -> DataFrame:
     """Rows (order status, priority) of early and late orders whose numbers differ, with both numbers."""
@@ -448,7 +483,8 @@ def q_item_outcomes(spark: SparkSession, source: str) -> DataFrame:
 
 @query
 def q_shipment_rollup(spark: SparkSession, source: str) -> DataFrame:
-    return jobs.shipment_rollup(_items(_t(spark, source)))
+    """T2 with all of its columns."""
+    return jobs.scan_ids(_scans(_t(spark, source)))
 
 
 @query
@@ -456,6 +492,20 @@ def q_model_metrics_monthly(spark: SparkSession, source: str) -> DataFrame:
     return _metrics(_t(spark, source))
 
 
+#: A hundred versions of the defect model, by discount threshold.
+MANY_VERSIONS = tuple((f"t{k:03d}", k / 1000) for k in range(1, 101))
+
+
+@query
+def q_metrics_at_thresholds(spark: SparkSession, source: str) -> DataFrame:
+    """Metrics of a hundred thresholds by inspection type, from one histogram of the score."""
+    counts = confusion_by_threshold(
+        _items(_t(spark, source)), ["inspection_type"], F.col("l_discount"), F.col("result") == "fail", MANY_VERSIONS,
+        {"_n_total_inferences": F.count(F.lit(1))},
+    )
+    return counts.select("inspection_type", "model_version", *[m.final(F.col).alias(m.name) for m in jobs.MODEL_MEASURES[:-1]])
+
+
 # Length thresholds (n_chars) of the three quality-filter versions.
 DOC_VERSION_MIN_CHARS = (("v1.0", 1000), ("v1.1", 1500), ("v1.2", 2500))
 
@@ -488,9 +538,36 @@ def q_value_dictionary(spark: SparkSession, source: str) -> DataFrame:
 
 @query
 def q_item_value_dictionary(spark: SparkSession, source: str) -> DataFrame:
-    """Categorical values of the item table (as used for entity matching), with row counts."""
-    items = _items(_t(spark, source))
-    return value_dictionary(items, ["inspection_type", "result", "defect_type", "severity"], "inspection_events")
+    """Values of the item table's categorical columns (as used for entity matching), with row counts.
+
+    Item keys are too many to list: those that at least FREQUENT_SHARE of the items have.
+    """
+    t = _t(spark, source)
+    items = _items(t)
+    products = lambda counted: jobs.with_product(counted, t.part)
+    return (
+        value_dictionary(items, ["inspection_type", "result", "defect_type", "severity"], "inspection_events")
+        .unionByName(value_dictionary_via(items, "dock_id", _facilities(t), ["facility_id"], "inspection_events"))
+        .unionByName(value_dictionary_via(items, "item_sku", products, ["product_category"], "inspection_events"))
+        .unionByName(frequent_values(items, "item_sku", FREQUENT_SHARE, "inspection_events"))
+    )
+
+
+@query
+def q_shipment_value_dictionary(spark: SparkSession, source: str) -> DataFrame:
+    return value_dictionary(_scans(_t(spark, source)), ["facility_id", "direction", "carrier_name", "status"], "dock_scans")
+
+
+@query
+def q_metric_value_dictionary(spark: SparkSession, source: str) -> DataFrame:
+    return value_dictionary(
+        _metrics(_t(spark, source)), ["model_name", "model_version", "inspection_type", "facility_id"], "model_performance"
+    )
+
+
+@query
+def q_frequent_skus(spark: SparkSession, source: str) -> DataFrame:
+    return frequent_values(_items(_t(spark, source)), "item_sku", FREQUENT_SHARE, "inspection_events")
 
 
 def perturbed_orders(orders: DataFrame) -> DataFrame:
@@ -513,14 +590,10 @@ def q_diff_results(spark: SparkSession, source: str) -> DataFrame:
 
 
 @query
-def q_publish_summary(spark: SparkSession, source: str) -> DataFrame:
-    """Publish T1-T3 as commented tables in a schema; report rows per table."""
-    from qualityframe.plans.deploy import deploy
-
-    summary = deploy(spark, _t(spark, source), schema="qualityframe_published")
-    rows = [(name, int(n)) for name, n in summary["tables"].items()]
-    return spark.createDataFrame(rows, "table_name string, rows long")
+def q_diff_by_digest(spark: SparkSession, source: str) -> DataFrame:
+    """The difference of ``q_diff_results``, comparing rows only in key ranges whose digests differ."""
+    orders = _t(spark, source).orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    return diff_by_digest(orders, perturbed_orders(orders), ["o_orderkey"], width=8)
 
 
-def all_queries() -> dict[str, QueryFn]:
-    return dict(QUERIES)
+from qualityframe.plans import published  # noqa: E402,F401  registers the queries over published tables

@@ -26,6 +26,7 @@ from qualityframe.functions import measures as M
 from qualityframe.functions.rules import classify, classify_is
 from qualityframe.functions.text import format_id
 from qualityframe.operators.ids import sequence_id
+from qualityframe.operators.thresholds import confusion_by_threshold
 from qualityframe.plans.registry import DEFECT_GROUPS, Measure, Via, count_measure, evaluate
 
 # Inspection types (by l_linenumber % 3), outcomes by return flag,
@@ -148,19 +149,10 @@ def product_dim(part: DataFrame) -> DataFrame:
     )
 
 
-def facility_dim(supplier: DataFrame, nation: DataFrame) -> DataFrame:
-    """(s_suppkey, facility_id). Nation is the fixed 25-row TPC-H list: broadcast."""
-    nat = F.broadcast(nation.select("n_nationkey", F.col("n_name").alias("facility_id")))
-    return supplier.select("s_suppkey", "s_nationkey").join(
-        nat, F.col("s_nationkey") == F.col("n_nationkey"), "left"
-    ).select("s_suppkey", "facility_id")
-
-
 def facility_attach(supplier: DataFrame, nation: DataFrame, key: str = "dock_id") -> Callable[[DataFrame], DataFrame]:
-    """Attach ``facility_id`` to rows keyed by supplier: join the supplier scan first, then
-    the broadcast nation list.
+    """Attach ``facility_id`` to rows keyed by supplier: join the supplier scan first, then the nations.
 
-    Joining the plain supplier scan lets the planner size it from file statistics (a
+    Joining the plain scans lets the planner size them from file statistics (a
     broadcast while small, a shuffle join with AQE skew splitting once it is large); a
     pre-joined supplier-nation frame would always be estimated too big to broadcast,
     forcing a shuffle of the fact side.
@@ -168,7 +160,7 @@ def facility_attach(supplier: DataFrame, nation: DataFrame, key: str = "dock_id"
 
     def attach(df: DataFrame) -> DataFrame:
         s = supplier.select("s_suppkey", "s_nationkey")
-        nat = F.broadcast(nation.select("n_nationkey", F.col("n_name").alias("facility_id")))
+        nat = nation.select("n_nationkey", F.col("n_name").alias("facility_id"))
         out = df.join(s, df[key] == s["s_suppkey"], "left")
         out = out.join(nat, out["s_nationkey"] == nat["n_nationkey"], "left")
         return out.drop("s_suppkey", "s_nationkey", "n_nationkey")
@@ -201,8 +193,9 @@ def item_outcomes(
     id_prefix: str = "INS-",
     id_base: int = 10000,
     id_width: int = 7,
+    extra: Sequence[str] = (),
 ) -> DataFrame:
-    """T1: classified items with dimension attributes and dense ids.
+    """T1: classified items with dimension attributes and dense ids (and ``extra`` columns of the item facts).
 
     Ids follow (l_shipdate, then every other lineitem column): a total order on this
     data, so they equal ROW_NUMBER() OVER (ORDER BY ...) + base, computed in parallel.
@@ -213,12 +206,12 @@ def item_outcomes(
     )
     facts = item_facts(numbered, rules, extra=("_qf_seq",))
     facts = facts.withColumn("inspection_id", format_id(id_prefix, "_qf_seq", id_width))
-    return _attach_items(facts, part, supplier, nation)
+    return _attach_items(facts, part, supplier, nation, extra)
 
 
-def _attach_items(facts: DataFrame, part: DataFrame, supplier: DataFrame, nation: DataFrame) -> DataFrame:
+def _attach_items(facts: DataFrame, part: DataFrame, supplier: DataFrame, nation: DataFrame, extra: Sequence[str]) -> DataFrame:
     joined = with_facility(with_product(facts, part), supplier, nation)
-    return joined.select(*ITEM_COLUMNS)
+    return joined.select(*ITEM_COLUMNS, *extra)
 
 
 # ---------------------------------------------------------------------------
@@ -226,8 +219,12 @@ def _attach_items(facts: DataFrame, part: DataFrame, supplier: DataFrame, nation
 # ---------------------------------------------------------------------------
 
 
-def shipment_rollup(items: DataFrame, reject_above: float = 0.85, flag_above: float = 0.70) -> DataFrame:
-    """T2: one row per shipment from its items (passed + failed + warning = verified).
+#: Shares of failed lines above which a shipment is rejected or flagged.
+REJECT_ABOVE, FLAG_ABOVE = 0.6, 0.3
+
+
+def shipment_rollup(items: DataFrame, reject_above: float = REJECT_ABOVE, flag_above: float = FLAG_ABOVE) -> DataFrame:
+    """The counts and rates of T2: one row per shipment from its items (passed + failed + warning = verified).
 
     A shipment of several suppliers belongs to the dock of its lowest line (the smaller dock on a tie).
 
@@ -235,6 +232,7 @@ def shipment_rollup(items: DataFrame, reject_above: float = 0.85, flag_above: fl
     order with many lines costs one partial row per task before the shuffle.
     """
     physical = list(DEFECT_GROUPS["Physical Damage"])
+    place = [c for c in ("dock_id", "facility_id") if c in items.columns]  # a dock has one facility
     g = items.groupBy("shipment_id").agg(
         F.max("l_linenumber").alias("expected_item_count"),
         F.count(F.lit(1)).alias("verified_item_count"),
@@ -245,12 +243,12 @@ def shipment_rollup(items: DataFrame, reject_above: float = 0.85, flag_above: fl
         M.count_where(F.col("defect_type").isin(physical)).alias("_damaged"),
         F.min("inspection_timestamp").alias("_first"),
         F.max("inspection_timestamp").alias("_last"),
-        F.min(F.struct("l_linenumber", "dock_id")).alias("_lead"),
+        F.min(F.struct("l_linenumber", *place)).alias("_lead"),
     )
     fail_share = M.ratio(F.col("items_failed"), F.col("verified_item_count"))
     return g.select(
         "shipment_id",
-        F.col("_lead.dock_id").alias("dock_id"),
+        *[F.col(f"_lead.{c}").alias(c) for c in place],
         F.to_date("_last").alias("scan_date"),
         "expected_item_count",
         "verified_item_count",
@@ -284,14 +282,47 @@ def direction_is(value: str) -> Column:
     return classify_is(_direction_rules(), "outbound", value)
 
 
-def shipment_scans(rollup: DataFrame, orders: DataFrame) -> DataFrame:
-    """T2 with the order's direction and customer key (carrier attached via the customer)."""
+def _carriers(customer: DataFrame) -> DataFrame:
+    return customer.select("c_custkey", F.col("c_mktsegment").alias("carrier_name"))
+
+
+SCAN_COLUMNS = (
+    "scan_id", "shipment_id", "scan_date", "facility_id", "dock_id", "direction", "carrier_name", "expected_item_count",
+    "verified_item_count", "items_passed", "items_failed", "items_warning", "sku_match_rate_pct", "damage_rate_pct",
+    "total_scan_duration_seconds", "status",
+)
+
+
+def shipment_scans(
+    rollup: DataFrame, orders: DataFrame, customer: DataFrame, facilities: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """T2 without its ids: the rollup with facility, direction and carrier; a shipment that is not listed keeps NULLs.
+
+    The orders meet the rollup on its own shuffle key; supplier and customer are left to Spark (a
+    broadcast while small). Items that had a facility need no ``facilities``.
+    """
     o = orders.select("o_orderkey", "o_custkey", "o_orderpriority", direction().alias("direction"))
-    return rollup.join(o, rollup["shipment_id"] == o["o_orderkey"], "inner").drop("o_orderkey")
+    out = rollup.join(o, rollup["shipment_id"] == o["o_orderkey"], "left")
+    c = _carriers(customer)
+    out = out.join(c, out["o_custkey"] == c["c_custkey"], "left")
+    out = facilities(out) if facilities is not None else out
+    return out.select(*SCAN_COLUMNS[1:], "o_orderpriority")
 
 
-def carrier_dim(customer: DataFrame) -> DataFrame:
-    return customer.select("c_custkey", F.col("c_mktsegment").alias("carrier_name"))
+def with_direction(rollup: DataFrame, orders: DataFrame) -> DataFrame:
+    """The rollup with ``direction`` (and the priority it rests on), for questions that need no more of T2."""
+    o = orders.select("o_orderkey", "o_orderpriority", direction().alias("direction"))
+    return rollup.join(o, rollup["shipment_id"] == o["o_orderkey"], "left").drop("o_orderkey")
+
+
+SCAN_ORDER = ("scan_date", "facility_id", "dock_id", "shipment_id")
+
+
+def scan_ids(scans: DataFrame, after: int = 10000, prefix: str = "SCN-", width: int = 7) -> DataFrame:
+    """T2: ``scan_id`` counts on from ``after``, by date, facility, dock and shipment (one row per shipment: a total order)."""
+    columns = list(SCAN_COLUMNS[1:])
+    numbered = sequence_id(scans.select(*columns), list(SCAN_ORDER), start=after + 1, name="_scan")
+    return numbered.select(format_id(prefix, "_scan", width).alias("scan_id"), *columns)
 
 
 # ---------------------------------------------------------------------------
@@ -376,64 +407,36 @@ def model_metrics(preds: DataFrame, by: Sequence[str], via: Via | None = None, w
     return evaluate(preds, ms, by=list(by), via=via)
 
 
-def _version_count_parts(versions: Sequence[tuple[str, float]]) -> dict[str, Column]:
-    """Confusion counts of every version as columns of one aggregate (wide form)."""
-    fail = F.col("result") == "fail"
-    parts: dict[str, Column] = {}
-    for i, (_, threshold) in enumerate(versions):
-        pred = F.col("l_discount") > F.lit(float(threshold))
-        parts[f"_tp{i}"] = M.count_where(pred & fail)
-        parts[f"_fp{i}"] = M.count_where(pred & ~fail)
-        parts[f"_fn{i}"] = M.count_where(~pred & fail)
-        parts[f"_tn{i}"] = M.count_where(~pred & ~fail)
-    parts["_n_total_inferences"] = F.count(F.lit(1))
-    parts["_lat_sum"] = F.sum(F.col("l_quantity").cast("double"))
-    parts["_lat_n"] = F.count(F.col("l_quantity"))
-    return parts
-
-
 def model_metrics_monthly(
     items: DataFrame,
     facilities: Callable[[DataFrame], DataFrame] | None = None,
     versions: Sequence[tuple[str, float]] = VERSION_THRESHOLDS,
+    facility: str = "dock_id",
 ) -> DataFrame:
     """T3: one row per (month, model, version, inspection type, facility) from item facts.
 
-    Every version scores every item, so instead of fanning items out x versions before
-    the shuffle, one aggregate computes all versions' confusion counts as columns and the
-    (small) result is unpivoted afterwards. With ``facilities`` (``facility_attach``) the
-    counts are first pre-aggregated per dock (supplier), which also collapses a hot
-    supplier map-side, then joined to the facility and merged.
+    Every version scores every item; one histogram of the score gives the counts of all of them
+    (``confusion_by_threshold``), however many. With ``facilities`` (``facility_attach``) the
+    counts are first pre-aggregated per dock (supplier), which also collapses a hot supplier
+    map-side, then joined to the facility and merged; else the facility is the column ``facility``.
     Same output as ``model_metrics(predictions(items), ...)`` on the long form.
     """
     model = classify([(F.col("inspection_type") == k, v) for k, v in MODEL_BY_TYPE.items()], None)
     p = items.withColumn("evaluation_date", M.bucket("inspection_timestamp", "month")).withColumn("model_name", model)
     keys = ["evaluation_date", "model_name", "inspection_type"]
-    parts = _version_count_parts(versions)
     if facilities is None:
-        g = p.groupBy(*keys, F.col("dock_id").alias("facility_id")).agg(*[c.alias(a) for a, c in parts.items()])
+        p, keys, via = p.withColumn("facility_id", F.col(facility)), [*keys, "facility_id"], None
     else:
-        pre = p.groupBy("dock_id", *keys).agg(*[c.alias(a) for a, c in parts.items()])
-        joined = facilities(pre)
-        g = joined.groupBy(*keys, "facility_id").agg(*[F.sum(a).alias(a) for a in parts])
-    per_version = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(v).alias("model_version"),
-                    F.col(f"_tp{i}").alias("_tp"),
-                    F.col(f"_fp{i}").alias("_fp"),
-                    F.col(f"_fn{i}").alias("_fn"),
-                    F.col(f"_tn{i}").alias("_tn"),
-                )
-                for i, (v, _) in enumerate(versions)
-            ]
-        )
-    )
-    long = g.select(*keys, "facility_id", "_n_total_inferences", "_lat_sum", "_lat_n", per_version.alias("_v")).select(
-        *keys, "facility_id", "_n_total_inferences", "_lat_sum", "_lat_n", "_v.*"
+        via = (["dock_id"], facilities, ["facility_id"])
+    counts = confusion_by_threshold(
+        p, keys, F.col("l_discount"), F.col("result") == "fail", versions,
+        {
+            "_n_total_inferences": F.count(F.lit(1)), "_lat_sum": F.sum(F.col("l_quantity").cast("double")),
+            "_lat_n": F.count(F.col("l_quantity")),
+        },
+        via,
     )
-    return long.select(
+    return counts.select(
         "evaluation_date", "model_name", "model_version", "inspection_type", "facility_id",
         *[m.final(F.col).alias(m.name) for m in MODEL_MEASURES],
     )

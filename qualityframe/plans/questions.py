@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qualityframe.functions import measures as M
-from qualityframe.operators.ranking import latest_snapshot, ranked, top_k
+from qualityframe.operators.ranking import latest_period, latest_snapshot, ranked, top_k
+from qualityframe.plans.jobs import model_metrics_monthly
 from qualityframe.plans.registry import REGISTRY as R
 from qualityframe.plans.registry import Dimension, Filter, Via, count_measure, evaluate, mean_measure, rate_measure
 
@@ -45,12 +46,11 @@ def defect_rate_by_category(items: DataFrame, products: DataFrame) -> DataFrame:
 def this_period_rate(items: DataFrame, products: DataFrame, grain: str = "month") -> DataFrame:
     """Q9: Q1 per product, restricted to the latest period.
 
-    ``items`` is a projection of the item scan, so the latest period is a scalar subquery
-    (it reads only the timestamp column; on a date-partitioned table it prunes to the
-    latest period's partitions at run time).
+    The latest period is a range on the raw timestamp whose bound is a scalar subquery (it
+    reads only that column).
     """
     m = R.measures
-    latest = latest_snapshot(items, "inspection_timestamp", grain, subquery=True)
+    latest = latest_period(items, "inspection_timestamp", grain)
     out = evaluate(
         latest,
         [m["total_inspections"], m["failures"], m["defect_rate_pct"]],
@@ -71,8 +71,29 @@ def latest_fp_rate(metrics: DataFrame, subquery: bool = False) -> DataFrame:
     return out.orderBy(F.desc_nulls_last("avg_fp_rate"), F.asc("facility_id"))
 
 
-def carrier_ranking(scans: DataFrame, carriers: DataFrame) -> DataFrame:
-    """Q3 / Q11: scans, mean damage %, flagged and rejected shipments per carrier, ranked."""
+def latest_fp_rate_of_items(items: DataFrame, facilities) -> DataFrame:
+    """Q2 from item facts: only the latest month's items are counted and compared."""
+    latest = latest_period(items, "inspection_timestamp", "month")
+    metrics = model_metrics_monthly(latest, facilities)
+    out = metrics.groupBy("facility_id").agg(M.mean("false_positive_rate_pct", 1).alias("avg_fp_rate"))
+    return out.orderBy(F.desc_nulls_last("avg_fp_rate"), F.asc("facility_id"))
+
+
+def flagged_carriers(scans: DataFrame) -> DataFrame:
+    """Q11: carriers by flagged shipments, most first, with their share of the carrier's shipments."""
+    flagged = lambda: F.col("status") == "flagged"
+    out = evaluate(
+        scans, [count_measure("flagged_shipments", flagged), count_measure("total_scans"), rate_measure("flagged_pct", flagged, 1)],
+        by=["carrier_name"],
+    )
+    return out.orderBy(F.desc("flagged_shipments"), F.asc("carrier_name"))
+
+
+def carrier_ranking(scans: DataFrame, bounded: bool = False) -> DataFrame:
+    """Q3: scans, mean damage %, flagged and rejected shipments per carrier, ranked.
+
+    ``bounded=True``: the caller knows the carriers to be few (one task ranks them).
+    """
     out = evaluate(
         scans,
         [
@@ -82,12 +103,10 @@ def carrier_ranking(scans: DataFrame, carriers: DataFrame) -> DataFrame:
             count_measure("rejected_shipments", lambda: F.col("status") == "rejected"),
         ],
         by=["carrier_name"],
-        via=Via(["o_custkey"], carriers, ["c_custkey"]),
     )
-    # one row per carrier: a fixed dimension domain, so the ranking input is bounded
     return ranked(
         out, [F.desc_nulls_last("avg_damage_rate")], keys=["avg_damage_rate"], name="damage_rank",
-        method="rank", tie_break=[F.asc("carrier_name")], bounded=True,
+        method="rank", tie_break=[F.asc("carrier_name")], bounded=bounded,
     )
 
 

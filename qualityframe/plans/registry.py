@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from qualityframe.functions import measures as M
 from qualityframe.functions.rules import map_groups
+from qualityframe.operators.sizes import broadcast_if_small
 
 _MERGE = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -53,7 +54,7 @@ class Via:
     fact_keys: Sequence[str]
     dim: DataFrame | None = None
     dim_keys: Sequence[str] = ()
-    broadcast: bool = False
+    broadcast: bool = False  # asks for a broadcast, which a count of the dimension must allow
     attach: Callable[[DataFrame], DataFrame] | None = None
     # False: join the fact rows to the dimension first and aggregate once (best when the
     # dimension is small enough to broadcast and keys are not skewed)
@@ -62,7 +63,7 @@ class Via:
     def join(self, pre: DataFrame) -> DataFrame:
         if self.attach is not None:
             return self.attach(pre)
-        dim = F.broadcast(self.dim) if self.broadcast else self.dim
+        dim = broadcast_if_small(self.dim) if self.broadcast else self.dim
         cond = [pre[fk] == dim[dk] for fk, dk in zip(self.fact_keys, self.dim_keys)]
         return pre.join(dim, cond, "left")
 
@@ -78,6 +79,19 @@ class Registry:
         target[item.name] = item
 
 
+def parts_of(measures: Sequence[Measure]) -> dict[str, tuple[Column, str]]:
+    """The parts of several measures; one that they share is listed once."""
+    parts: dict[str, tuple[Column, str]] = {}
+    for m in measures:
+        for alias, spec in m.parts().items():
+            parts.setdefault(alias, spec)
+    return parts
+
+
+def merge_parts(df: DataFrame, parts: dict[str, tuple[Column, str]], by: Sequence[str]) -> DataFrame:
+    """Parts that were aggregated before, merged ``by`` coarser keys."""
+    return df.groupBy(*by).agg(*[_MERGE[merge](F.col(a)).alias(a) for a, (_, merge) in parts.items()])
+
 
 def evaluate(
     df: DataFrame,
@@ -101,10 +115,7 @@ def evaluate(
             by_names.append(b.name)
         else:
             by_names.append(b)
-    parts: dict[str, tuple[Column, str]] = {}
-    for m in measures:
-        for alias, spec in m.parts().items():
-            parts.setdefault(alias, spec)
+    parts = parts_of(measures)
     if via is not None and not via.preaggregate:
         df, via = via.join(df), None
     if via is None:
@@ -112,8 +123,7 @@ def evaluate(
     else:
         fact_by = [c for c in by_names if c in df.columns and c not in via.fact_keys]
         pre = df.groupBy(*via.fact_keys, *fact_by).agg(*[agg.alias(a) for a, (agg, _) in parts.items()])
-        joined = via.join(pre)
-        grouped = joined.groupBy(*by_names).agg(*[_MERGE[merge](F.col(a)).alias(a) for a, (_, merge) in parts.items()])
+        grouped = merge_parts(via.join(pre), parts, by_names)
     return grouped.select(*by_names, *[m.final(F.col).alias(m.name) for m in measures])
 
 

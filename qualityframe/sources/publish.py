@@ -1,7 +1,7 @@
 """Publishing tables: schema, column comments, row counts, drop.
 
-* Column comments travel as StructField metadata set before the write, so a table
-  lands documented in one statement instead of one ALTER per column.
+* Writes are staged and committed by one swap (``versions``); columns and table are
+  documented by the statement that commits them.
 * Row counts come from an ``Observation`` attached to the write: no second scan.
 * Identifiers are validated before any DDL (full-match, no trailing newline accepted).
 """
@@ -9,12 +9,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+from qualityframe.sources.versions import commit_version, sql_text, validate_identifier
 
 #: What the columns of the three published tables hold here, and which input they come from.
 COLUMN_COMMENTS: dict[str, dict[str, str]] = {
@@ -35,9 +35,13 @@ COLUMN_COMMENTS: dict[str, dict[str, str]] = {
         "processing_time_ms": "Quantity of the line",
     },
     "dock_scans": {
+        "scan_id": "SCN- and a number that stays with the shipment when later loads are added",
         "shipment_id": "Order key",
-        "dock_id": "Supplier key of the lowest line",
         "scan_date": "Latest ship date among the lines",
+        "facility_id": "Nation of the dock's supplier; NULL if the supplier is not listed",
+        "dock_id": "Supplier key of the lowest line",
+        "direction": "inbound for the two urgent order priorities, else outbound; NULL if the order is not listed",
+        "carrier_name": "Market segment of the ordering customer",
         "expected_item_count": "Highest line number",
         "verified_item_count": "Lines found",
         "items_passed": "Lines with flag N",
@@ -73,12 +77,6 @@ TABLE_COMMENTS: dict[str, str] = {
 }
 
 
-def validate_identifier(value: str, field_name: str = "identifier") -> str:
-    if not value or not _IDENT.fullmatch(value):
-        raise ValueError(f"{field_name}={value!r} is not a simple identifier")
-    return value
-
-
 DEFAULT_SCHEMA_BASENAME = "quality_qc"
 
 
@@ -118,20 +116,32 @@ def with_comments(df: DataFrame, comments: Mapping[str, str]) -> DataFrame:
     return df
 
 
+#: Errors of a catalog that does not let this user create or see a schema: the current catalog is tried instead.
+REFUSED = ("PERMISSION", "UNAUTHORIZED", "FORBIDDEN", "ACCESS_DENIED", "NOT_SUPPORTED", "UNSUPPORTED", "READ_ONLY", "CATALOG_NOT_FOUND")
+
+
 def ensure_schema(spark: SparkSession, schema: str, comment: str | None = None) -> str:
     validate_identifier(schema, "schema")
-    sql = f"CREATE SCHEMA IF NOT EXISTS {schema}"
-    if comment:
-        sql += " COMMENT '" + comment.replace("'", "''") + "'"
-    spark.sql(sql)
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}" + (f" COMMENT {sql_text(comment)}" if comment else ""))
     return schema
 
 
-def table_location(spark: SparkSession, schema: str, name: str) -> str:
-    """``<warehouse>/<schema>.db/<name>``: an explicit location, so a rerun replaces the
-    folder even when the catalog entry is gone (e.g. a fresh session's in-memory catalog)."""
-    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    return f"{warehouse}/{schema}.db/{name}"
+def open_target(spark: SparkSession, target: Mapping[str, object], fallback: str, comment: str | None = None) -> dict:
+    """Make ``target``'s schema, in ``fallback`` if its own catalog refuses; the catalog that has it becomes the current one.
+
+    Other errors, and a refusal of the fallback itself, are raised. ``catalog_fallback`` tells.
+    """
+    spark.catalog.setCurrentCatalog(str(target["catalog"]))
+    try:
+        ensure_schema(spark, str(target["schema"]), comment)
+    except Exception as exc:
+        refused = any(word in re.sub(r"[ -]", "_", str(exc).upper()) for word in REFUSED)
+        if not refused or target["catalog"] == fallback:
+            raise
+        spark.catalog.setCurrentCatalog(fallback)
+        ensure_schema(spark, str(target["schema"]), comment)
+        return {**target, "catalog": fallback, "fqn": f"{fallback}.{target['schema']}", "catalog_fallback": True}
+    return dict(target)
 
 
 def publish(
@@ -141,41 +151,50 @@ def publish(
     comments: Mapping[str, str] | None = None,
     partition_by: Sequence[str] = (),
     table_comment: str | None = None,
+    **layout: object,
 ) -> int:
-    """Write ``df`` as ``schema.name`` (full replace); return its row count."""
+    """Write ``df`` as ``schema.name`` (full replace, see ``versions``); return its row count.
+
+    ``layout`` takes the further arguments of ``versions.commit_version``. A catalog other than
+    Spark's own has its own way of replacing a table at once, which is used there.
+    """
     validate_identifier(name, "table")
     validate_identifier(schema, "schema")
-    obs = Observation(f"rows_{name}")
-    out = with_comments(df, comments or {}).observe(obs, F.count(F.lit(1)).alias("rows"))
-    writer = out.write.mode("overwrite").format("parquet").option("path", table_location(df.sparkSession, schema, name))
+    spark = df.sparkSession
+    if spark.catalog.currentCatalog() == "spark_catalog":
+        return commit_version(df, name, schema, comments, table_comment, partition_by, **layout)
+    told = Observation(f"rows_{name}")
+    writer = with_comments(df, comments or {}).observe(told, F.count(F.lit(1)).alias("rows")).writeTo(f"{schema}.{name}")
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.saveAsTable(f"{schema}.{name}")
+        writer = writer.partitionedBy(*[F.col(c) for c in partition_by])
     if table_comment:
-        text = table_comment.replace("'", "''")
-        df.sparkSession.sql(f"COMMENT ON TABLE {schema}.{name} IS '{text}'")
-    return int(obs.get["rows"])
+        writer = writer.tableProperty("comment", table_comment)
+    writer.createOrReplace()
+    return int(told.get["rows"])
 
 
 def publish_all(
     spark: SparkSession,
-    tables: Mapping[str, DataFrame],
+    tables: Mapping[str, DataFrame | Callable[[], DataFrame]],
     schema: str,
     comments: Mapping[str, Mapping[str, str]] = COLUMN_COMMENTS,
     schema_comment: str = "Quality-control analytics tables",
     partition_by: Mapping[str, Sequence[str]] | None = None,
     table_comments: Mapping[str, str] = TABLE_COMMENTS,
+    layouts: Mapping[str, Mapping[str, object]] | None = None,
 ) -> dict:
     """Publish several tables into one schema; return a run summary.
 
     Each table is one write job whose row count is observed during the write; tables are
-    written one after another so each job gets the whole cluster.
+    written in order, and one given as a function is built when its turn comes, so that it can
+    read those before it.
     """
     ensure_schema(spark, schema, schema_comment)
     counts: dict[str, int] = {}
     for name, df in tables.items():
         counts[name] = publish(
-            df, name, schema, comments.get(name), (partition_by or {}).get(name, ()), table_comments.get(name)
+            df() if callable(df) else df, name, schema, comments.get(name), (partition_by or {}).get(name, ()),
+            table_comments.get(name), **(layouts or {}).get(name, {}),
         )
     return {
         "catalog": spark.catalog.currentCatalog(),

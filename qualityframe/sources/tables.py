@@ -46,24 +46,16 @@ class Tables:
     """Lazy accessor: ``Tables(spark, dir).lineitem`` -> DataFrame.
 
     Each table is read once per accessor (file listing and footer schema) and the same
-    lazy DataFrame is reused by every query built from it. Use ``Tables.shared`` to share
-    one accessor per (session, source) across calls, and ``refresh()`` after the files of
+    lazy DataFrame is reused by every query built from it; ``refresh()`` after the files of
     a source change.
     """
 
-    _shared: dict[tuple[int, str], "Tables"] = {}
-
     def __init__(self, spark: SparkSession, source: str):
         self.spark = spark
         self.source = source
         self._cache: dict[str, DataFrame] = {}
         self._views: dict[str, DataFrame] = {}
 
-    @classmethod
-    def shared(cls, spark: SparkSession, source: str) -> "Tables":
-        """Tables for one query: files are listed and plans built anew, so appended files are seen."""
-        return cls(spark, source)
-
     def refresh(self) -> None:
         """Forget the read DataFrames and derived views (re-list files on next access)."""
         self._cache.clear()
@@ -83,11 +75,6 @@ class Tables:
             self._cache[name] = read_table(self.spark, self.source, name)
         return self._cache[name]
 
-    def register_views(self, names: Sequence[str] = TABLE_NAMES) -> None:
-        """Expose the tables to ``spark.sql`` under their own names."""
-        for name in names:
-            getattr(self, name).createOrReplaceTempView(name)
-
 
 def dimension(spark: SparkSession, rows: Sequence[Sequence[object]], schema: T.StructType | str) -> DataFrame:
     """Inline literal relation (a VALUES list) marked for broadcast.

@@ -5,8 +5,8 @@ from conftest import SF001
 
 from qualityframe.operators.compare import check_answer
 from qualityframe.plans import questions
-from qualityframe.plans.catalog import _items, _metrics, _products, _t
-from qualityframe.plans.jobs import carrier_dim, shipment_rollup, shipment_scans, with_product
+from qualityframe.plans.catalog import _items, _metrics, _products, _scans, _t
+from qualityframe.plans.jobs import with_product
 
 GOLD = {
     "defect_rate_by_category": """
@@ -41,8 +41,7 @@ def test_questions_match_gold_sql(spark):
 
 def test_check_answer_reports_differences(spark):
     t = _t(spark, SF001)
-    scans = shipment_scans(shipment_rollup(_items(t)), t.orders)
-    good = questions.carrier_ranking(scans, carrier_dim(t.customer))
+    good = questions.carrier_ranking(_scans(t))
     bad = good.limit(4)
     report = check_answer(bad, good, ["carrier_name"])
     assert not report["passed"] and report["only_right"] == 1 and report["schema_match"]

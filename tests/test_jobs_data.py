@@ -10,7 +10,7 @@ from qualityframe.plans.catalog import QUERIES, _facilities, _items, _t
 
 def test_shipment_rollup_matches_survey_figures(spark):
     r = QUERIES["q_shipment_rollup"](spark, SF001)
-    assert dict(r.groupBy("status").count().collect()) == {"completed": 13508, "flagged": 457, "rejected": 778}
+    assert dict(r.groupBy("status").count().collect()) == {"completed": 6837, "flagged": 5834, "rejected": 2072}
     assert r.filter(F.col("expected_item_count") != F.col("verified_item_count")).count() == 12733
     bad = r.filter(F.col("items_passed") + F.col("items_failed") + F.col("items_warning") != F.col("verified_item_count"))
     assert bad.count() == 0

@@ -251,9 +251,9 @@ def test_missing_dimension_rows_keep_the_facts(spark, items, products):
 def test_tables_see_appended_files(spark, tmp_path):
     path = str(tmp_path / "orders.parquet")
     spark.range(3).withColumnRenamed("id", "o_orderkey").write.parquet(path)
-    assert Tables.shared(spark, str(tmp_path)).orders.count() == 3
+    assert Tables(spark, str(tmp_path)).orders.count() == 3
     spark.range(2).withColumnRenamed("id", "o_orderkey").write.mode("append").parquet(path)
-    assert Tables.shared(spark, str(tmp_path)).orders.count() == 5
+    assert Tables(spark, str(tmp_path)).orders.count() == 5
 
 
 def test_rank_with_ties_parallel_and_bounded(spark):

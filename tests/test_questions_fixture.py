@@ -87,7 +87,7 @@ def test_via_direct_join_equals_preaggregation(items, products):
 
 
 def test_shipment_rollup(items):
-    out = jobs.shipment_rollup(items)
+    out = jobs.shipment_rollup(items, reject_above=0.85, flag_above=0.70)
     got = {
         r.shipment_id: (r.verified_item_count, r.items_passed, r.items_failed, r.items_warning, r.sku_match_rate_pct,
                         r.damage_rate_pct, r.total_scan_duration_seconds, r.status)
@@ -124,7 +124,11 @@ SCAN_SCHEMA = (
 def test_q3_q11_carrier_ranking(spark):
     scans = spark.createDataFrame(SCAN_ROWS, SCAN_SCHEMA)
     carriers = spark.createDataFrame([(0, "Alpha"), (1, "Beta")], "c_custkey int, carrier_name string")
-    out = questions.carrier_ranking(scans, carriers)
+    scans = scans.join(carriers, F.col("o_custkey") == F.col("c_custkey"))
+    flagged = questions.flagged_carriers(scans)
+    assert [tuple(r) for r in flagged.collect()] == [("Beta", 1, 2, 50.0), ("Alpha", 0, 2, 0.0)]
+    for bounded in (True, False):
+        out = questions.carrier_ranking(scans, bounded=bounded)
     got = sorted(tuple(r[c] for c in ("carrier_name", "total_scans", "avg_damage_rate", "flagged_shipments",
                                        "rejected_shipments", "damage_rank")) for r in out.collect())
     assert got == [("Alpha", 2, 5.0, 0, 0, 2), ("Beta", 2, 6.3, 1, 1, 1)]
