@@ -28,10 +28,13 @@ _CUT = re.compile(r" (?=\S)")
 
 
 class PieceEncoder:
-    """Encodes texts to ids by ``encode_many`` (little-endian unsigned 32-bit) over unseen pieces."""
+    """Encodes texts to ids by ``encode_many`` (little-endian unsigned 32-bit) over unseen pieces.
 
-    def __init__(self, encode_many: Callable[[Sequence[str]], list[bytes]]):
-        self.encode_many = encode_many
+    Texts in which ``whole`` is found are not cut.
+    """
+
+    def __init__(self, encode_many: Callable[[Sequence[str]], list[bytes]], whole: re.Pattern[str] | None = None):
+        self.encode_many, self.whole = encode_many, whole
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -47,8 +50,9 @@ class PieceEncoder:
             yield self._group(group)
 
     def _group(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        if any(map(_ODD.search, texts)):
-            parts = [_CUT.split(t) for t in texts]
+        uncut = [bool(self.whole and self.whole.search(t)) for t in texts]
+        if any(uncut) or any(map(_ODD.search, texts)):
+            parts = [[t] if u else _CUT.split(t) for t, u in zip(texts, uncut)]
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
             pieces = pa.array([p for ps in parts for p in ps], pa.string())
         else:
@@ -90,11 +94,13 @@ def binary_column(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
-def worker_encoder(key: tuple, make: Callable[[], Callable[[Sequence[str]], list[bytes]]]) -> PieceEncoder:
+def worker_encoder(
+    key: tuple, make: Callable[[], Callable[[Sequence[str]], list[bytes]]], whole: Callable[[], re.Pattern[str] | None] = lambda: None,
+) -> PieceEncoder:
     """The encoder of this Python worker: built once, its cache serves all tasks of the worker."""
     if key not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[key] = PieceEncoder(make())
+        _ENCODERS[key] = PieceEncoder(make(), whole())
     return _ENCODERS[key]
 
 

@@ -15,6 +15,7 @@ symbols fit, else uint32), ``vocabulary``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -134,7 +135,6 @@ def _make_library(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
     def encode_many(texts: Sequence[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -146,6 +146,14 @@ def _make_library(path: str):
     return encode_many
 
 
+def added_tokens(path: str) -> re.Pattern[str] | None:
+    """What the library takes for a token of its own wherever it stands: a text that holds it is encoded uncut."""
+    from tokenizers import Tokenizer
+
+    added = [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()]
+    return re.compile("|".join(map(re.escape, added))) if added else None
+
+
 def vocabulary_size(path: str) -> int:
     from tokenizers import Tokenizer
 
@@ -156,6 +164,8 @@ def write_tokens(docs: DataFrame, path: str, target: str, ident: str = "doc_id",
                  shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode every text with the tokenizers library, append ``end``, write shards to ``target``.
 
+    The library's own tokens (such as ``<|endoftext|>``) become their ids where a text holds their strings.
+
     Shards hold documents in ascending order of ``ident`` (null first; repeated ids by text).
     Null and empty texts have the end id alone. Other columns are not written. Each task of
     the range partitioning writes its own shards through Spark's committed output, so a task
@@ -166,7 +176,7 @@ def write_tokens(docs: DataFrame, path: str, target: str, ident: str = "doc_id",
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(("library", path), lambda: _make_library(path))
+        encoder = worker_encoder(("library", path), lambda: _make_library(path), lambda: added_tokens(path))
         part, shard, held = TaskContext.get().partitionId(), 0, 0
         names: list[int] = []
         parts: list[np.ndarray] = []

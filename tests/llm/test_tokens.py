@@ -106,9 +106,11 @@ def test_repair_leaves_no_frequent_pair():
 
 
 def test_token_files_against_the_library(spark, texts, tmp_path):
-    tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
-    rows = [(3 * i, t, "x") for i, t in enumerate(texts)] + [(-5, None, None)]
+    tokenizer = Tokenizer.from_file(JSON)  # as the library is by default
+    own = "<|endoftext|>"
+    odd = [f"x {own} y", own, f"{own}{own} a  {own} ", f"  {own}\n\n b", f"é{own}é {own[:-1]}", "<|endoftext |>", f"word {own}" * 50]
+    assert tokenizer.encode(odd[0], add_special_tokens=False).ids == [87, 220, 50256, 331]
+    rows = [(3 * i, t, "x") for i, t in enumerate([*texts, *odd])] + [(-5, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(4)
     token_files.write_tokens(docs, JSON, str(tmp_path / "a"), shard_tokens=5000)
     got = {r["doc_id"]: r for r in token_files.read_tokens(spark, str(tmp_path / "a")).collect()}
