@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import checkpointed, table
+from .common import checkpointed, fresh, table
 
 #: Pages a node must be on before its entropies count; nodes of less importance go.
 MIN_PAGES = 5
@@ -32,6 +33,8 @@ GAMMA = 0.9
 BROADCAST_PATHS = 100_000
 #: Levels that are combined one by one; what is nested deeper is combined within its branch.
 DEEP = 40
+#: What is nested deeper (unclosed tags, as a rule) is one node of the tree with its ancestor on this level; its text stays.
+NESTED = 256
 #: Paths of nodes that are, or are inside, an article or main element or one with that role.
 IN_MAIN = r"/(article|main)(\.[^/]*)?(/|$)|%main"
 
@@ -49,7 +52,7 @@ ENDS = {
 }
 SCOPE = frozenset("table ul ol dl select body html article main section div td th".split())
 #: Elements, roles, and words of class or id that name something else than the article.
-NOT_TEXT = frozenset("head title script style noscript template svg math iframe object canvas audio video button select textarea".split())
+NOT_TEXT = frozenset("head title script style noscript template svg iframe object canvas audio video button select textarea".split())
 NOT_MAIN = frozenset("nav footer aside form menu dialog search".split())
 NOT_MAIN_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 NOT_MAIN_WORD = frozenset(
@@ -59,15 +62,61 @@ NOT_MAIN_WORD = frozenset(
     "comment comments disqus reply replies respond reader-comments pagination pager toolbar skip".split()
 )
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*>",
-    re.S | re.I,
+#: Words that stand beside those in compound names; a compound that has any other word is left to the tree.
+BESIDE = frozenset(
+    "site page main top bottom left right center global primary secondary list item items box bar block container wrapper wrap "
+    "inner outer section area panel button buttons btn link links icon icons post posts article articles slot unit form thread "
+    "content text title row col column group card region zone strip sticky fixed mobile desktop nav".split()
 )
+#: An article or main element with a smaller share of the text that is left is not taken for the whole of it.
+MAIN_SHARE = 0.5
+
+#: Elements whose content is no markup: skipped up to their end tag.
+RAW = frozenset("script style noscript template textarea title svg iframe".split())
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_END = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """Markup of a page in order: start, end, tag in lower case (None: a comment or raw element, to skip), closing, attributes.
+
+    One pass: a ``<`` without any ``>`` behind it is text, and once a tag's quotes turn out never to
+    close, tags end at the next ``>``, so that broken pages take time in proportion to their length.
+    """
+    at, last, quotes = 0, page.rfind(">"), True
+    while (lt := page.find("<", at)) >= 0:
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            end = len(page) if end < 0 else end + 3
+            yield lt, end, None, False, ""
+        elif lt > last:
+            at = lt + 1 if (lt := page.find("<!--", lt)) < 0 else lt  # only a comment needs no end
+            if lt < 0:
+                return
+            continue
+        elif page[lt + 1] in "!?":
+            end = page.find(">", lt) + 1
+            yield lt, end, None, False, ""
+        elif m := _OPEN.match(page, lt):
+            found = _END.match(page, m.end()) if quotes else None
+            quotes = quotes and found is not None
+            end = found.end() if found else page.find(">", m.end()) + 1
+            tag, closing = m[2].lower(), bool(m[1])
+            if tag in RAW and not closing:
+                raw = _RAW_END[tag].search(page, end)
+                end = raw.end() if raw else len(page)
+                yield lt, end, None, False, ""
+            else:
+                yield lt, end, tag, closing, page[m.end(): end - 1]
+        else:
+            end = lt + 1
+        at = end
+
+
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
@@ -86,8 +135,14 @@ def _named_as_other(tag: str, attrs: dict[str, str], main: bool) -> bool:
         return True
     if tag in ("html", "body", "article", "main"):
         return False
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
-    return any(w in NOT_MAIN_WORD for w in _WORDS.findall(names)) if names != " " else False
+    return any(map(_other_name, f"{attrs.get('class', '')} {attrs.get('id', '')}".split()))
+
+
+@lru_cache(100_000)
+def _other_name(name: str) -> bool:
+    """Whether a class or id names something else than the article: by all of its words, not by one among others."""
+    words = _WORDS.findall(_CAMEL.sub("-", name).lower())
+    return any(w in NOT_MAIN_WORD for w in words) and all(w in NOT_MAIN_WORD or w in BESIDE for w in words)
 
 
 def _escaped(name: str) -> str:
@@ -129,15 +184,13 @@ def walk(
         del stack[upto:]
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not stack[-1].drop:
-            text.append(unescape(page[at: m.start()]))
-        at = m.end()
-        tag = m[3]
+    for start, end, tag, closing, told in tokens(page):
+        if start > at and not stack[-1].drop:
+            text.append(unescape(page[at: start]))
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
-        if m[2]:
+        if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     close(k)
@@ -164,9 +217,10 @@ def walk(
         if tag in VOID:
             continue
         up = stack[-1]
-        attrs = {a[1].lower(): next((v for v in a.groups()[1:] if v is not None), "") for a in _ATTR.finditer(m[4])} if m[4] else {}
+        attrs = {a[1].lower(): next((v for v in a.groups()[1:] if v is not None), "") for a in _ATTR.finditer(told)} if told else {}
         named = _key(tag, attrs, classes)
-        path = f"{up.path}/{named}"
+        deep = len(stack) > NESTED
+        path = up.path if deep else f"{up.path}/{named}"
         main = up.main or tag in ("article", "main") or attrs.get("role") == "main"
         node = Node(tag, path, up.drop, main)
         if not up.drop and (_named_as_other(tag, attrs, main) or path in low):
@@ -174,8 +228,11 @@ def walk(
             node.drop = True
         up.kids.append(named)
         stack.append(node)
-        seen.append(node)
-        if m[4] and m[4].endswith("/") and tag not in BLOCK:
+        if deep:
+            node.kids = up.kids
+        else:
+            seen.append(node)
+        if told.endswith("/") and tag not in BLOCK:
             stack.pop()
     if at < len(page) and not stack[-1].drop:
         text.append(unescape(page[at:]))
@@ -184,11 +241,13 @@ def walk(
 
 
 def main_text(page: str | None, low: frozenset[str] = frozenset(), classes: frozenset[str] = frozenset()) -> str:
-    """The blocks of the article, joined by line feeds; of the article or main element if there is one with text."""
+    """The blocks of the article, joined by line feeds; those of article and main elements alone if they hold most of the text."""
     if not page:
         return ""
     kept = [(text, main) for _, text, dropped, main in walk(page, low, classes)[0] if not dropped]
     inner = [text for text, main in kept if main]
+    if sum(map(len, inner)) < MAIN_SHARE * sum(len(text) for text, _ in kept):
+        inner = []
     return "\n".join(inner or [text for text, _ in kept])
 
 
@@ -204,9 +263,9 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: list[str] = []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             own: set[str] = set()
-            for m in _TOKEN.finditer(page or ""):
-                if m[4] and "class" in m[4].lower():
-                    for a in _ATTR.finditer(m[4]):
+            for _, _, tag, closing, told in tokens(page or ""):
+                if tag and not closing and "class" in told.lower():
+                    for a in _ATTR.finditer(told):
                         if a[1].lower() == "class":
                             own.update(next((v for v in a.groups()[1:] if v is not None), "").split())
             hosts += [host] * len(own)
@@ -339,33 +398,36 @@ def style_tree(pages: DataFrame, host: str = "host", html: str = "html", classes
     return _importances(nodes)
 
 
-def _with_lists(rows: DataFrame, lists: DataFrame, column: str) -> DataFrame:
+def _with_lists(rows: DataFrame, lists: DataFrame, host: str, column: str) -> DataFrame:
     """``rows`` with the array ``column`` that their host has in ``lists`` (checkpointed), or null."""
     n = lists.agg(F.sum(F.size(column)).alias("n")).first()["n"] or 0
-    return rows.join(F.broadcast(lists) if n <= BROADCAST_PATHS else lists, "__host", "left")
+    return rows.join(F.broadcast(lists) if n <= BROADCAST_PATHS else lists, host, "left")
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text", keep: bool = False) -> DataFrame:
     """``pages`` with the main text in column ``out`` (replaced if it exists); ``keep`` keeps the html.
 
     Null and empty html give an empty text; a null url shares the host of strange urls. Rows
-    stay as they are, repeated rows count as pages of their own.
+    stay as they are, repeated rows count as pages of their own. An empty table gives an empty
+    one. Very long and broken pages take time in proportion to their length.
     """
+    host_column, classes_column, low_column = (fresh(pages, c) for c in ("__host", "__classes", "__low"))
     names = [c for c in pages.columns if c != out and (keep or c != html)]
-    hosted = pages.withColumn("__host", host_of(F.col(url)))
-    classes = checkpointed(recurring_classes(hosted, "__host", html).select(F.col("host").alias("__host"), F.col("classes").alias("__classes")))
-    hosted = _with_lists(hosted, classes, "__classes")
+    hosted = pages.withColumn(host_column, host_of(F.col(url)))
+    classes = recurring_classes(hosted, host_column, html)
+    classes = checkpointed(classes.select(F.col("host").alias(host_column), F.col("classes").alias(classes_column)))
+    hosted = _with_lists(hosted, classes, host_column, classes_column)
     low = checkpointed(
-        style_tree(hosted, "__host", html, "__classes").filter((F.col("pages") >= MIN_PAGES) & (F.col("branch") < LOW))
-        .groupBy(F.col("host").alias("__host")).agg(F.sort_array(F.collect_list("path")).alias("__low"))
+        style_tree(hosted, host_column, html, classes_column).filter((F.col("pages") >= MIN_PAGES) & (F.col("branch") < LOW))
+        .groupBy(F.col("host").alias(host_column)).agg(F.sort_array(F.collect_list("path")).alias(low_column))
     )
-    rows = _with_lists(hosted, low, "__low")
+    rows = _with_lists(hosted, low, host_column, low_column)
     schema = StructType([*pages.select(names).schema.fields, StructField(out, StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lows = [frozenset(x or ()) for x in batch.column("__low").to_pylist()]
-            names_of = [frozenset(x or ()) for x in batch.column("__classes").to_pylist()]
+            lows = [frozenset(x or ()) for x in batch.column(low_column).to_pylist()]
+            names_of = [frozenset(x or ()) for x in batch.column(classes_column).to_pylist()]
             told = [main_text(p, x, y) for p, x, y in zip(batch.column(html).to_pylist(), lows, names_of)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(told, pa.string())], [*names, out])
 
