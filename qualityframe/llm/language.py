@@ -120,8 +120,11 @@ def document_frequencies(train: DataFrame, text: str = "text") -> np.ndarray:
     return out
 
 
-def training_sample(train: DataFrame, per_language: int, lang: str, text: str, ident: str) -> list[tuple[str, str]]:
-    """Up to ``per_language`` rows of every language, however many there are, in the order of a seeded hash; (lang, text)."""
+def training_sample(train: DataFrame, per_language: int, lang: str, text: str, ident: str) -> DataFrame:
+    """(lang, ident, text): up to ``per_language`` rows of every language, however many there are, by a seeded hash.
+
+    Rows that share an id are one place in the order and come together.
+    """
     slim = train.select(F.col(lang).alias("lang"), F.col(ident).cast("string").alias("ident"))
     order = F.xxhash64(F.lit(29), F.coalesce("ident", F.lit("")))
     sizes = small_side(checkpointed(slim.groupBy("lang").count()))
@@ -131,10 +134,38 @@ def training_sample(train: DataFrame, per_language: int, lang: str, text: str, i
     picked = picked.filter((F.pmod("h", F.lit(1_000_000)) / F.lit(1e6)) < share)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "ident"))
     picked = checkpointed(picked.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("ident").distinct())
-    rows = train.join(
-        small_side(picked), F.col(ident).cast("string").eqNullSafe(F.col("ident"))
-    ).select(F.col(lang).alias("lang"), F.col(text).alias("text"), "ident").orderBy("lang", "ident", "text").collect()
-    return [(r["lang"], r["text"]) for r in rows]
+    rows = train.select(F.col(lang).alias("lang"), F.col(ident).cast("string").alias("own"), F.col(text).alias("text"))
+    rows = rows.join(small_side(picked), F.col("own").eqNullSafe(F.col("ident")))
+    return rows.select("lang", "ident", "text")
+
+
+def sample_vectors(sample: DataFrame, model: LanguageModel) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(lang, features, values) of a ``training_sample``, in a fixed order; texts without a letter are passed over.
+
+    The tasks make the sparse vectors, and only those reach the driver, as Arrow columns: their size is
+    bounded by the sample, not by the length of its texts.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, features, values = [], [], []
+            for k, t in enumerate(batch.column("text")):
+                counts = ngram_counts(t.as_py())
+                if counts is not None:
+                    at, value = model.vector(counts)
+                    keep.append(k)
+                    features.append(at.astype(np.int32))
+                    values.append(value)
+            part = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("lang"), part.column("ident"), part.column("digest"), pa.array(features, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))],
+                ["lang", "ident", "digest", "features", "value"],
+            )
+
+    told = sample.withColumn("digest", F.md5("text")).mapInArrow(run, "lang string, ident string, digest string, features array<int>, value array<double>")
+    got = told.orderBy("lang", "ident", "digest").select("lang", "features", "value").toArrow()
+    return [
+        (y, np.asarray(at.values), np.asarray(value.values)) for y, at, value in zip(got.column("lang").to_pylist(), got.column("features"), got.column("value"))
+    ]
 
 
 def fit(
@@ -146,11 +177,7 @@ def fit(
     df = document_frequencies(train, text)
     idf = np.log((1 + df[SIZE]) / (1 + df[:SIZE])) + 1
     model = LanguageModel([], idf, np.zeros((SIZE, 0)), np.zeros(0), 1.0)
-    sample = []
-    for y, t in training_sample(train, per_language, lang, text, ident):
-        if (counts := ngram_counts(t)) is not None:  # kept sparse: the driver holds the bounded sample
-            at, value = model.vector(counts)
-            sample.append((y, at.astype(np.int32), value))
+    sample = sample_vectors(training_sample(train, per_language, lang, text, ident), model)
     languages = sorted({y for y, _, _ in sample})
     if not languages:
         return model
@@ -207,7 +234,8 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
     """``df`` with ``lang_pred`` and ``score`` (columns of these names are replaced).
 
     Null text, and text without a letter, gets "und" with score 0; so does all text under an
-    empty model. Equal scores go to the language first in order. Only the text is read.
+    empty model. Equal scores go to the language first in order. Only the text is read, whole also if it is
+    very long. Repeated rows are alike, an empty table gives an empty one.
     """
     names = [c for c in df.columns if c not in ("lang_pred", "score")]
     df = df.select(names)

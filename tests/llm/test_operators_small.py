@@ -206,7 +206,53 @@ def test_language_model(spark):
 def test_language_sample_has_every_language(spark):
     rows = [(i, f"a-{i:04}", f"text {i}") for i in range(1100)] + [(2000 + i, "zh", f"text {i}") for i in range(5)]
     got = language.training_sample(spark.createDataFrame(rows, "doc_id long, lang string, text string"), 3, "lang", "text", "doc_id")
-    assert len({y for y, _ in got}) == 1101 and sum(y == "zh" for y, _ in got) == 3
+    got = [r["lang"] for r in got.collect()]
+    assert len(set(got)) == 1101 and got.count("zh") == 3
+
+
+def test_ftrl_equals_a_naive_dense_one():
+    rng = np.random.default_rng(4)
+    k, rows = 3, []
+    for _ in range(60):
+        at = np.unique(rng.integers(0, 40, 12)).astype(np.int32)
+        rows.append((int(rng.integers(k)), at, rng.random(len(at))))
+    weights, bias = language.ftrl(rows, k, epochs=2)
+    size = 41  # the features that occur, and the bias last
+    z, n = [[0.0] * k for _ in range(size)], [[0.0] * k for _ in range(size)]
+
+    def weight(i, c):
+        if abs(z[i][c]) <= language.L1:
+            return 0.0
+        sign = 1 if z[i][c] > 0 else -1
+        return -(z[i][c] - sign * language.L1) / ((language.BETA + n[i][c] ** 0.5) / language.ALPHA + language.L2)
+
+    for _ in range(2):
+        for y, at, value in rows:
+            x = [0.0] * size
+            for i, v in zip(at, value):
+                x[i] = float(v)
+            x[40] = 1.0
+            w = [[weight(i, c) for c in range(k)] for i in range(size)]
+            s = [sum(x[i] * w[i][c] for i in range(size)) for c in range(k)]
+            e = [np.exp(v - max(s)) for v in s]
+            for i in range(size):
+                for c in range(k):
+                    g = x[i] * (e[c] / sum(e) - (c == y))
+                    z[i][c] += g - ((n[i][c] + g * g) ** 0.5 - n[i][c] ** 0.5) / language.ALPHA * w[i][c]
+                    n[i][c] += g * g
+    want = np.array([[weight(i, c) for c in range(k)] for i in range(size)])
+    assert np.allclose(weights[:40], want[:40], atol=1e-9) and np.allclose(bias, want[40], atol=1e-9) and not weights[40:].any()
+
+
+def test_language_of_repeated_rows_and_no_rows(spark):
+    rows = [(k % 7, ["der die das und nicht", "the and of to in"][k % 2], ["de", "en"][k % 2], 1) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
+    model = language.fit(docs)
+    got = language.predict(docs, model)
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and got.filter("lang = lang_pred").count() == 40
+    assert language.predict(docs.limit(0), model).count() == 0
+    tied = language.LanguageModel(["a", "b"], model.idf, np.zeros((language.SIZE, 2)), np.zeros(2), 1.0)
+    assert tied.predict("some text") == ("a", 0.5)
 
 
 def _brute_components(texts, n, percent):
@@ -281,3 +327,85 @@ def test_pipeline(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert last.count() == kept.count() and last.filter("NOT round_trip").count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "suffix-array dedup", "mixing to target weights", "byte-level BPE"]
+
+
+def test_repeats_in_rows_that_share_an_id_and_carried_columns(spark):
+    a, b = "".join(chr(97 + k % 26) + str(k) for k in range(60)), "".join(chr(97 + k % 23) * 2 + str(k) for k in range(60))
+    rows = [(1, a + b, "x", 1), (1, a, "y", 2), (2, "pre" + a, None, 3), (2, b, "z", 4), (3, None, "n", 5), (None, a, "w", 6), (4, a, "v", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, spans int")
+    got = suffixes.remove_repeats(docs, as_text=True, carry=("lang",)).collect()
+    kept = sorted((r["doc_id"] or 0, r["lang"] or "", r["kept"], sum(s["length"] for s in r["spans"])) for r in got)
+    assert kept == [(0, "w", a, 0), (1, "x", a + b, 0), (1, "y", a, 0), (2, "", "pre", len(a)), (2, "z", "", len(b)), (3, "n", "", 0), (4, "v", "", len(a))]
+
+
+def test_repeats_that_very_many_documents_share(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 3000)  # many blocks
+    passage = "".join(f"{k:02}" for k in range(60))
+    docs = spark.createDataFrame([(i, f"[{i}]" + passage + f"({i * 7919 % 1000})") for i in range(400)], "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: bytes(r["kept"]).decode() for r in suffixes.remove_repeats(docs).collect()}
+    first: dict = {}
+    for i in range(400):
+        text = f"[{i}]" + passage + f"({i * 7919 % 1000})"
+        gone = [False] * len(text)
+        for k in range(len(text) - 49):
+            if first.setdefault(text[k: k + 50], i) < i:
+                gone[k: k + 50] = [True] * 50
+        assert got[i] == "".join(c for c, g in zip(text, gone) if not g), i
+
+
+def test_similar_documents_of_a_hot_group_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "SMALL_BUCKET", 4)
+    rng = random.Random(3)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(120)]
+    texts = []
+    for k in range(60):  # near copies: nearly all of their entries are shared, as equal buckets
+        words = list(base)
+        words[rng.randrange(120)] = f"x{k}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"v{rng.randint(0, 400)}" for _ in range(60)) for _ in range(40)] + ["long " * 20000, "long " * 20001, "", None]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in shingles.similar_documents(docs, n=3, percent=80).collect()}
+    assert [got[k] for k in range(len(texts))] == _brute_components(texts, 3, 80)[1]
+    twice = spark.createDataFrame([(1, texts[0]), (1, texts[70]), (2, texts[1]), (3, texts[70])], "doc_id long, text string")
+    assert sorted(r["component_id"] for r in shingles.similar_documents(twice, n=3, percent=80).collect()) == [1, 1, 1, 1]
+    assert shingles.similar_documents(docs.limit(0)).count() == 0
+
+
+def test_html_names_are_judged_whole_and_formulas_stay():
+    page = (
+        "<div class='share-price'><p>Up</p></div><div class='side-by-side'><p>Two</p></div><p class='reply-brief'>Brief</p>"
+        "<p>The <math><mi>x</mi></math> holds</p><div class='share-buttons'>Tweet</div><div id='siteHeader'>H</div><div class='ads'>Buy</div>"
+    )
+    assert html.main_text(page) == "Up\nTwo\nBrief\nThe x holds"
+    assert html.main_text("<article>Teaser</article><div><p>The whole long text of the page is here.</p></div>") == "Teaser\nThe whole long text of the page is here."
+    assert html.main_text("<article>The whole long text of the page.</article><div>Tail</div>") == "The whole long text of the page."
+
+
+@pytest.mark.parametrize("bad", ["<a ", '<a ">" ', "<div ", "<div>x", "<!--", '<a b="', "</", "<script ", "<p>x<", "<li>", "<table><td>"])
+def test_long_broken_pages_take_linear_time(bad):
+    import time
+
+    start = time.perf_counter()
+    html.main_text(bad * (1_000_000 // len(bad)))
+    assert time.perf_counter() - start < 15  # hours, if it grew with the square
+
+
+def test_html_of_long_pages_repeated_rows_and_clashing_columns(spark):
+    long = "<article>" + "".join(f"<p>Paragraph {k} &amp; more</p>" for k in range(30000)) + "</article>"
+    rows = [(1, "http://a.com", long, "h", 1), (2, "http://a.com", "<p>x</p>", "h", 2), (2, "http://a.com", "<p>x</p>", "h", 2), (3, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, __host string, __classes int")
+    pages = pages.withColumn("__low", F.lit("own"))
+    got = html.extract(pages).collect()
+    assert sorted((r["page_id"], r["__host"], r["__classes"], r["__low"]) for r in got if r["__host"]) == [(1, "h", 1, "own"), (2, "h", 2, "own"), (2, "h", 2, "own")]
+    assert next(r["text"] for r in got if r["page_id"] == 1) == "\n".join(f"Paragraph {k} & more" for k in range(30000))
+
+
+def test_very_long_vectors_and_repeated_rows(spark):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((70, 1500))
+    rows = [(k, v.tolist()) for k, v in enumerate(base)] + [(100 + k, (base[k] * 3 + 0.01 * rng.standard_normal(1500)).tolist()) for k in range(70)]
+    rows += [rows[5], rows[5], (200, [0.0] * 1500), (201, None), (None, base[3].tolist())]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    component = {r["vec_id"]: r["component_id"] for r in got}
+    assert all(component[100 + k] == k for k in range(70)) and component[200] == 200 and component[201] == 201
+    assert sorted(r["n_links"] for r in got if r["vec_id"] == 5) == [3, 3, 3] and len(got) == len(rows)
