@@ -116,7 +116,8 @@ def mixture(
     ``slim`` holds ``ident``, the level columns and ``tokens`` (checkpoint it: it is read three
     times) and may hold more. Null levels count as the member "unknown", null tokens as 0; rows
     without tokens are never chosen. Rows that share an ``ident`` share one place in the order:
-    they are taken together, each cut to what is left there. An empty table gives none.
+    they are taken together, each cut to what is left there. An empty table gives none. Columns of
+    ``slim`` named ``epoch`` or ``taken`` are replaced, helpers' names (``__t``, ``__full``, ``__rem``, ``__key``, ``__range``) are dropped.
     """
     slim = slim.withColumns({x: F.coalesce(F.col(x).cast("string"), F.lit(MISSING)) for x in levels})
     slim = slim.withColumn("__t", F.coalesce(F.col(tokens), F.lit(0)).cast("long")).filter("__t > 0")

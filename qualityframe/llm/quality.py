@@ -114,6 +114,8 @@ def quality_rules(
     ``kept`` is false for a base failure and for every document of a rejected host. Rows,
     repeated rows and other columns stay; a null host is a host of its own. The base columns
     are checkpointed: texts are read once, and later filters cannot be pushed into the rules.
+    An empty table gives an empty one, very long texts are judged whole. Columns of ``df`` with the
+    names of results or of helpers (``__words``, ``__lines``, ``__h``, ``__win``, ``__at``, ``__rep``, ``__host``, ``__bad``) are replaced or dropped.
     """
     base = checkpointed(with_base_rules(df, text).drop(text))
     verdict = host_verdicts(base, host, reject_rate)
