@@ -15,8 +15,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from qualityframe.plans.catalog import QUERIES  # noqa: E402
 from qualityframe.session import get_session  # noqa: E402
 
-SKIP = {"q_publish_summary"}  # a write job, not a single plan
-
 
 def audit(plan: str) -> dict:
     scans = re.findall(r"FileScan parquet \S*\[([^\]]*)\].*?/(\w+)\.parquet\]", plan)
@@ -44,8 +42,6 @@ def main() -> None:
     print("| query | tables scanned (columns read) | shuffles | broadcasts | joins | generate | single-partition |")
     print("| --- | --- | --- | --- | --- | --- | --- |")
     for name in sorted(QUERIES):
-        if name in SKIP:
-            continue
         df = QUERIES[name](spark, sf_dir)
         a = audit(df._jdf.queryExecution().executedPlan().toString())
         print(f"| {name} | {a['scans']} | {a['shuffles']} | {a['broadcasts']} | {a['joins']} | {a['generate']} | "
