@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import qualityframe
@@ -45,10 +48,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Files of the frames stored since each open ``temporaries``.
+_TEMPORARY: list[list[str]] = []
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder that ``spark.checkpoint.dir`` names."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if _TEMPORARY:
+        file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            _TEMPORARY[-1].append(file.get())
+    return out
+
+
+@contextmanager
+def temporaries(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is checkpointed or written inside is deleted at the end, whole tables of a stage that has its result.
+
+    Gives a function that stores a frame to stay: pass what is needed afterwards through it.
+    """
+    own: list[str] = []
+    _TEMPORARY.append(own)
+
+    def stay(df: DataFrame) -> DataFrame:
+        ensure_checkpoint_dir(spark)
+        return df.checkpoint(eager=True)
+
+    try:
+        yield stay
+    finally:
+        _TEMPORARY.remove(own)
+        context = spark.sparkContext
+        for name in own:
+            path = context._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that are gone, which it does when the driver collects garbage.
+
+    An iterative operator leaves many small shuffles behind long before the driver's memory fills up.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -60,6 +105,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back (columnar, compressed)."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _TEMPORARY:
+        _TEMPORARY[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
