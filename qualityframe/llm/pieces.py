@@ -21,7 +21,7 @@ CACHE_PIECES = 250_000
 #: Longer pieces are encoded, but not kept.
 CACHE_LENGTH = 48
 #: Characters of text that are encoded together.
-GROUP_CHARS = 1_500_000
+GROUP_CHARS = 2_500_000
 
 _ODD = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
