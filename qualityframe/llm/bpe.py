@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .pieces import map_column, with_column
+from .common import give_back, table
+from .pieces import ROWS, map_column, with_column
 
 NONE = np.int32(2**31 - 1)
 
@@ -229,11 +229,15 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
         for t, r in ranks.items():
             token[r] = t
         for batch in batches:
-            told = (
-                b"".join(map(token.__getitem__, np.frombuffer(raw.as_buffer() or b"", "<u4").tolist())) if raw.is_valid else b""
-                for raw in batch.column(ids)
-            )
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(told, pa.binary())], [*names, out])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                told = (
+                    b"".join(map(token.__getitem__, np.frombuffer(raw.as_buffer() or b"", "<u4").tolist())) if raw.is_valid else b""
+                    for raw in part.column(ids)
+                )
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(told, pa.binary())], [*names, out])
+            batch = part = told = None
+            give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from .common import give_back
+
 #: Pieces kept per Python worker (about 200 bytes each); the cache starts anew beyond it.
 CACHE_PIECES = 250_000
 #: Longer pieces are encoded, but not kept.
@@ -23,6 +25,9 @@ CACHE_LENGTH = 48
 #: Characters of text that are encoded together.
 GROUP_CHARS = 2_500_000
 
+#: Rows of a batch that become Python strings together.
+ROWS = 1000
+
 _ODD = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 
@@ -37,7 +42,7 @@ class PieceEncoder:
         self.encode_many, self.whole = encode_many, whole
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def encode(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Group by group: the ids of its texts in a row, and the bounds of each text's ids."""
         group, chars = [], 0
         for text in texts:
@@ -85,6 +90,12 @@ class PieceEncoder:
         return ids, np.concatenate([[0], ends])[offsets]
 
 
+def texts_of(column: pa.Array) -> Iterator[str]:
+    """The texts of a column (null: empty), a few rows at a time as Python strings."""
+    for at in range(0, len(column), ROWS):
+        yield from (t or "" for t in column.slice(at, ROWS).to_pylist())
+
+
 def binary_column(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """Rows of ids as an Arrow binary column, without a copy for each row."""
     offsets = pa.py_buffer((bounds * 4).astype(np.int32))
@@ -120,11 +131,12 @@ def map_column(df: DataFrame, source: str, out: str, key: tuple, make: Callable[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(key, make)
         for batch in batches:
-            texts = [t or "" for t in batch.column(source).to_pylist()]
             at = 0
-            for ids, bounds in encoder.encode(texts):
+            for ids, bounds in encoder.encode(texts_of(batch.column(source))):
                 part = batch.slice(at, len(bounds) - 1)
                 at += len(bounds) - 1
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), binary_column(ids, bounds)], [*names, out])
+            batch = part = ids = bounds = None
+            give_back()
 
     return df.mapInArrow(run, schema)
